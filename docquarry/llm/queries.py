@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, sharding
 from .lm import is_held_out, language_scores
+from .mixing import mix
 from .packing import pack_documents
 from .quality import quality_scores
 from .records import token_records
-from .shared import documents
+from .shared import documents, written
+from .sharding import extendible_shards
 from .simhash import simhash_groups
 from .winnow import edited_fingerprints
 
+ENTROPY_SHARE, MOST_REPEATS = 0.998, 4.0
+SHARD_BYTES = 1 << 20
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -32,6 +37,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy that a stream as long as the documents takes."""
+    docs = written(documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("n_tokens")))
+    total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    mixed = mix(docs, ENTROPY_SHARE, MOST_REPEATS, total, tokens=F.col("n_tokens"))
+    return mixed.withColumn("mix_key", F.round("mix_key", 9))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -40,13 +53,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir), is_held_out(F.col("doc_id")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op10_lm_scores": op10_lm_scores}
+    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_temperature_mixing": mixing.oracle(ENTROPY_SHARE, MOST_REPEATS),
+        "op9_extendible_sharding": sharding.oracle(SHARD_BYTES),
+    }
