@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import chat, mixing, sharding
 from .lm import is_held_out, language_scores
 from .mixing import mix
 from .packing import pack_documents
@@ -53,6 +53,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return chat.chat_digests(rows.unionByName(more))
+
+
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
 
@@ -62,11 +69,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores}
+    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_temperature_mixing": mixing.oracle(ENTROPY_SHARE, MOST_REPEATS),
+        "op8_reply_trees": chat.ORACLE,
         "op9_extendible_sharding": sharding.oracle(SHARD_BYTES),
     }
