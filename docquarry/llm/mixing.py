@@ -103,7 +103,7 @@ def number(digits: F.Column, n: int) -> F.Column:
 
 def mix(docs: DataFrame, entropy_share: float = 0.95, most_repeats: float = 4.0, budget: int | None = None, seed: int = 0, tokens: F.Column | None = None) -> DataFrame:
     """The rows of docs that the mixed stream takes, once for each copy, with mix_block and mix_key. tokens: the cost of a row (its words)."""
-    columns = [F.col(f"__doc.`{c}`").alias(c) if "`" not in c else F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_block", "mix_key")]
+    columns = [F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_block", "mix_key")]
     cost = words(F.col("text")) if tokens is None else tokens
     rows = docs.select(F.struct("*").alias("__doc"), "doc_id", "source", cost.cast("long").alias("n"))
     sources = written(rows.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")))
