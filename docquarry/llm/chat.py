@@ -72,7 +72,8 @@ def chosen_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
         leaves = leaves.withColumn("rank", rank).where(F.col("rank") <= best)
     path = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
     for jump in reversed(jumps):  # from the longest jump to the shortest, each place is met once
-        path = path.unionByName(path.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("depth") + F.col("n")).alias("depth")))
+        longer = path.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("depth") + F.col("n")).alias("depth"))
+        path = written(path.unionByName(longer))  # else the plan doubles with each jump
     return path.select("node.tree", F.col("leaf.node").alias("leaf"), "node.node", "depth")
 
 
