@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import metadata, relational, retrieval, texts
+from . import events, metadata, relational, retrieval, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "metadata", "relational", "retrieval", "texts"]
+__all__ = ["QUERIES", "SQL", "events", "metadata", "relational", "retrieval", "texts"]
