@@ -54,7 +54,7 @@ def chosen_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     rooted = written(own.join(known, "parent", "left").select("node", parent.alias("parent"), "score"))
     # reach: for each node its ancestor 2 ** k above, and the number and the score of the nodes below that ancestor
     reach = written(rooted.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), "score"))
-    jumps = []
+    jumps, depth = [], reach.count().bit_length()
     while True:
         live = reach.where("up IS NOT NULL")
         if live.isEmpty():
@@ -63,7 +63,7 @@ def chosen_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
         above = reach.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("n").alias("n2"), F.col("score").alias("s2"))
         grown = live.join(above, "up").select("node", F.col("next").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("score") + F.col("s2")).alias("score"))
         reach = written(reach.where("up IS NULL").unionByName(grown))
-        if len(jumps) > 62:  # cycles: their nodes never reach a root
+        if len(jumps) >= depth:  # only cycles are left: their nodes never reach a root
             break
     reach = reach.where("up IS NULL")
     leaves = reach.join(rooted.where("parent IS NOT NULL").select(F.col("parent").alias("node")), "node", "left_anti")
