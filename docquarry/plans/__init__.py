@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import events, metadata, numbers, relational, retrieval, texts
+from . import events, metadata, numbers, relational, retrieval, structure, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "events", "metadata", "numbers", "relational", "retrieval", "texts"]
+__all__ = ["QUERIES", "SQL", "events", "metadata", "numbers", "relational", "retrieval", "structure", "texts"]
