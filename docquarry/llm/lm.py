@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, shared_folder, written
+from .shared import crc_of_id, shared_folder, trimming, written
 
 BLOCK_CHARS = 4_000_000
 END = b"\n"  # no word: the end of a text, and the context of its first word
@@ -67,7 +67,7 @@ def build_blocks(docs: DataFrame, held_out: F.Column) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held")).mapInArrow(run, BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held")).mapInArrow(trimming(run), BLOCK)
 
 
 class Block:
@@ -215,7 +215,7 @@ def language_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
         p1, p2 = word / max(n_all - 1, 1), pair / np.maximum(context, 1)
         step = lambda p: np.where(p > 0, np.round(STEPS * np.log2(np.maximum(p, 1e-30))).astype(np.int64) + 1000, 0)
         cell, which = np.unique(level(context) << 32 | step(p2) << 16 | step(p1), return_inverse=True)
-        sums = [np.bincount(which, x, len(cell)) for x in (np.ones(len(which)), p2, p1)]
+        sums = [np.bincount(which, x, len(cell)).astype(float) for x in (np.ones(len(which)), p2, p1)]
         return pa.table([pa.array(cell.astype(np.int64)), *map(pa.array, sums)], ["cell", "n", "p2", "p1"])
 
     cells = met.applyInArrow(histogram, "cell long, n double, p2 double, p1 double")

@@ -7,7 +7,8 @@ evaluated in one aggregation over the table of sources.
 
 A source's quota of the token budget is taken in blocks. Each block is a new permutation of all its documents, by hash; the last block
 stops before the first document that would exceed the quota. To find that place, tokens are added up in ranges of the hash; only rows
-of the one range with the border are numbered one by one. `mix_key`, from 0 to 1, is a copy's place in the mixed stream.
+of the one range with the border are numbered one by one. `mix_key` is a copy's place in the mixed stream:
+it grows from 0 along a source's blocks, and 1 is the end of the quota (about: the last block is laid out by hash, not by tokens).
 
 Defined cases: a null source is a source of its own; a null or empty text has no tokens; a source without any token has no weight, and
 its documents are taken once; repeated rows are separate documents; a null doc_id hashes like the empty one; ties in the hash

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .encode import encoder
 from .records import encode_documents
-from .shared import written
+from .shared import trimming, written
 
 #: Pieces of one length that a rank block has at most, about; blocks are never fewer than LEAST_BLOCKS.
 BLOCK_ROWS, LEAST_BLOCKS = 200_000, 256
@@ -48,7 +48,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2,
             yield pa.record_batch([pa.array(x, t) for x, t in zip(rows[:n], kinds[:n], strict=True)], list(names[:n]))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return encode_documents(docs, tokenizer, end_id).mapInArrow(run, schema)
+    return encode_documents(docs, tokenizer, end_id).mapInArrow(trimming(run), schema)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .encode import in_slices
-from .shared import crc_of_id
+from .shared import crc_of_id, trimming
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 600_000  # characters whose words are weighed at once
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class Settings:
     buckets: int = 1 << 18
     grams: tuple[int, ...] = (3, 4, 5)
     dimensions: int = 8
-    sample_rows: int = 5000  # labelled rows that training sees at most
+    sample_rows: int = 3000  # labelled rows that training sees at most
     epochs: int = 5
     rate: float = 20.0
     seed: int = 7
@@ -113,7 +114,7 @@ def train(texts: list[str | None], classes: list[int], settings: Settings = Sett
     vectors = rng.uniform(-1, 1, (settings.buckets, settings.dimensions)).astype(np.float32) / settings.dimensions
     out, bias = np.zeros((settings.dimensions, 2), np.float32), np.zeros(2, np.float32)
     bags = []
-    for a, b in in_slices(texts, 2_000_000):
+    for a, b in in_slices(texts, SLICE):
         words, ends, distinct = words_of(texts[a:b])
         features, at = word_features(distinct, settings) if distinct else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         same = repeats(words, ends)
@@ -166,10 +167,11 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [shared.value.scores(texts[a:b]) for a, b in in_slices(texts, 2_000_000)]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names, "score"])
+            for a, b in in_slices(texts, SLICE):
+                part = batch.slice(a, b - a)
+                yield pa.record_batch([*part.columns, pa.array(shared.value.scores(texts[a:b]))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimming(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:

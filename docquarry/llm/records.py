@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .crc32c import masked_crc32c
 from .encode import encoder, in_slices
-from .shared import shared_folder
+from .shared import shared_folder, trimming
 
 HEAD, ENTRY = struct.Struct("<?q"), np.dtype([("known", "?"), ("doc_id", "<i8"), ("offset", "<i8"), ("size", "<i8")])
 FRAME = 16  # bytes of a frame besides its payload
@@ -172,7 +172,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id
             for a, b in in_slices(texts):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([x + end for x in own.encode(texts[a:b])], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(trimming(run), "doc_id long, ids binary")
 
 
 def write_token_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2) -> None:

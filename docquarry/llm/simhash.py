@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, local_stars
 from .encode import in_slices
-from .shared import written
+from .shared import trimming, written
 
 #: Fingerprints in a tile, about; rows of a tile compared at once.
 TILE, STRIP = 2048, 256
@@ -66,10 +66,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts, 4_000_000):
+            for a, b in in_slices(texts, 2_000_000):
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(fingerprints(texts[a:b], shingle, seed).view(np.int64))], ["doc_id", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimming(run), "doc_id long, print long")
 
 
 def links_of_pair(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import in_slices
+from .shared import trimming
 
 GRAM, WINDOW = 16, 48  # GRAM is a power of two; a distance fits in a byte
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -180,4 +181,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_ranges(docs).repartition("span").sortWithinPartitions("span", "tail", "key", "text").mapInArrow(run, schema)
+    return with_ranges(docs).repartition("span").sortWithinPartitions("span", "tail", "key", "text").mapInArrow(trimming(run), schema)
