@@ -22,7 +22,6 @@ from .shared import shared_folder, written
 
 BITS = 60  # of a hash
 SLACK = 4  # bits of a cell beyond the mean need
-OWN = ["__hash", "__again", "__bytes"]
 
 
 def hash_of(key: F.Column) -> F.Column:
@@ -46,10 +45,10 @@ def split_round(rows: DataFrame, hashed: str, least: int, most: int, limit: int)
     return found, cells.join(found, "cell", "left_anti").select("cell")
 
 
-def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The asked columns of docs with shard (its prefix as bits), depth, n_bytes and shard_bytes."""
+def placed_rows(docs: DataFrame, limit: int, key: str, text: str, columns: tuple[str, ...]) -> DataFrame:
+    """(row: the asked columns of docs, shard, depth, n_bytes, shard_bytes)."""
     row_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rows = docs.select(*columns, hash_of(F.col(key)).alias("__hash"), F.xxhash64(F.monotonically_increasing_id()).alias("__again"), row_bytes.alias("__bytes"))
+    rows = docs.select(F.struct(*columns).alias("row"), hash_of(F.col(key)).alias("__hash"), F.xxhash64(F.monotonically_increasing_id()).alias("__again"), row_bytes.alias("__bytes"))
     rows = written(rows.withColumn("__again", F.shiftrightunsigned("__again", 64 - BITS)))
     total = rows.agg(F.sum("__bytes")).first()[0] or 0
     parts: list[DataFrame] = []
@@ -65,7 +64,7 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: st
             placed = rows.withColumn("cell", prefix(hashed, most)).join(found, "cell")
             bits = F.lpad(F.bin(prefix(hashed, F.col("depth"))), F.col("depth"), F.lit("0"))
             depth = F.col("depth") + (BITS if hashed == "__again" else 0)
-            parts.append(placed.select(*columns, F.concat(group, bits).alias("shard"), depth.cast("int").alias("depth"), F.col("__bytes").alias("n_bytes"), "shard_bytes"))
+            parts.append(placed.select("row", F.concat(group, bits).alias("shard"), depth.cast("int").alias("depth"), F.col("__bytes").alias("n_bytes"), "shard_bytes"))
             if rest.isEmpty():
                 return reduce(DataFrame.unionAll, parts)
             rows = written(rows.withColumn("cell", prefix(hashed, most)).join(rest, "cell", "left_semi").drop("cell"))
@@ -75,11 +74,16 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: st
     return reduce(DataFrame.unionAll, parts)
 
 
+def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The asked columns of docs with shard (its prefix as bits), depth, n_bytes and shard_bytes."""
+    return placed_rows(docs, limit, key, text, columns).select("row.*", "shard", "depth", "n_bytes", "shard_bytes")
+
+
 def write_shards(docs: DataFrame, limit: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Writes docs as Parquet, one folder a shard (named by its bits; `root` for no bits), and returns the folder."""
     path = path or shared_folder(docs.sparkSession)
-    placed = extendible_shards(docs, limit, key, text, tuple(docs.columns))
-    named = placed.select(*docs.columns, F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("__shard"))
+    placed = placed_rows(docs, limit, key, text, tuple(docs.columns))
+    named = placed.select("row.*", F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("__shard"))
     named.repartition("__shard").write.partitionBy("__shard").parquet(path)
     return path
 
