@@ -53,6 +53,17 @@ def squashed(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t\r\n ]+", "")
 
 
+def sentences(text: Column) -> Column:
+    """Non-empty sentences: cut after a stop and white space, and at line ends."""
+    marked = F.regexp_replace(text, "([.!?])[ \t]+|[\r\n]+", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
+
+
+def numbers(text: Column) -> Column:
+    """Written numbers in order, thousands separators taken out."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", ""))
+
+
 def looping(lines: Column) -> Column:
     """The last 12 lines are one line, or the last 48 at most 8 different ones."""
     last = lambda n: F.slice(lines, -n, n)

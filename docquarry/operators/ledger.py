@@ -40,3 +40,17 @@ def once(events: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
     """The first event of each key: repeated corrections count once."""
     rest = [c for c in events.columns if c not in key]
     return events.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, "x.*").select(*events.columns)
+
+
+def replay(events: DataFrame, keys: Sequence[str], order: Sequence[str], event: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """(keys, state, moved, refused): the events of a key in order, each moving the state if there is a move for it, else refused. A fold
+    over the events of one key, such as an attempt."""
+    table = F.create_map(*[F.lit(x) for (state, name), to in moves.items() for x in (f"{state}|{name}", to)])
+    ordered = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, event))).alias("e"))
+    first = F.struct(F.lit(start).alias("state"), F.lit(0).alias("moved"), F.lit(0).alias("refused"))
+
+    def step(acc: Column, x: Column) -> Column:
+        to = F.try_element_at(table, F.concat_ws("|", acc["state"], x[event]))
+        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moved"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("moved"), (acc["refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("refused"))
+
+    return ordered.select(*keys, F.aggregate("e", first, step).alias("s")).select(*keys, "s.*")

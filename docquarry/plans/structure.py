@@ -6,14 +6,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.statistics import nearest_rank
-from docquarry.functions.text import tokens
+from docquarry.functions.text import numbers, sentences, tokens
 from docquarry.operators.chunking import pack_rows
+from docquarry.operators.ledger import replay
 from docquarry.sources.tables import table
 
 from .registry import query
 from .retrieval import BM25, SHINGLES, WORDS, containing
 
 
+MOVES = {
+    ("idle", "view"): "reserved",
+    ("reserved", "click"): "dispatching",
+    ("reserved", "error"): "released",
+    ("dispatching", "purchase"): "settled",
+    ("dispatching", "error"): "unknown",
+    ("unknown", "purchase"): "settled",
+    ("settled", "view"): "reserved",
+    ("released", "view"): "reserved",
+}
+NEXT = "CASE state || '|' || event_type " + " ".join(f"WHEN '{a}|{b}' THEN '{c}'" for (a, b), c in MOVES.items()) + " END"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'idle' AS state, 0 AS moved, 0 AS refused FROM e UNION ALL SELECT user_id, k, coalesce(nxt, state), moved + (nxt IS NOT NULL)::INT, refused + (nxt IS NULL)::INT
+      FROM (SELECT e.user_id, e.k, f.state, f.moved, f.refused, {NEXT} AS nxt FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+    SELECT user_id, arg_max(state, k) AS state, max(moved) AS moved, max(refused) AS refused FROM f GROUP BY 1"""
+)
+def ledger_state_machine(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events replayed as an attempt: reserve, dispatch, settle; events without a move are refused."""
+    return replay(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", MOVES, "idle")
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t]+|[\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(s)::INT AS n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM s"""
+)
+def text_sentences(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')) AS s FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(s)::INT AS n, array_to_string(s, ' ').md5() AS numbers_md5 FROM s WHERE len(s) > 0"""
+)
+def text_numbers(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select("doc_id", numbers(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return s.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", " ")).alias("numbers_md5"))
+
+
 @query(
     """WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity::BIGINT AS c FROM lineitem),
     f AS (SELECT l_orderkey, k, 0 AS chunk, c AS used FROM l WHERE k = 1 UNION ALL SELECT f.l_orderkey, l.k, CASE WHEN f.used > 0 AND (f.used + l.c > 60 OR l.c > 48) THEN chunk + 1 ELSE chunk END,
