@@ -40,7 +40,8 @@ def split_round(rows: DataFrame, hashed: str, least: int, most: int, limit: int)
     levels = levels.withColumn("own", F.expr(f"shiftright(cell, {most} - depth)"))
     sums = levels.groupBy("depth", "own").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("rows"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("rows") == 1)).drop("rows")
-    best = levels.join(fits, ["depth", "own"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("best"))
+    # both sides grow with the cells, and compress so well that Spark would take them for small
+    best = levels.join(fits.hint("merge"), ["depth", "own"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("best"))
     found = written(best.select("cell", "best.depth", "best.shard_bytes"))
     return found, cells.join(found, "cell", "left_anti").select("cell")
 
