@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.llm.jaccard import without_near_copies
 from docquarry.llm.mixing import mix
 from docquarry.llm.packing import pack_documents
 from docquarry.llm.quality import accepted, train_on
 from docquarry.llm.queries import TOKENIZER
 from docquarry.llm.shared import documents, written
-from docquarry.llm.simhash import without_near_copies
 
 ACCEPTED_SCORE = 0.3
 SEQUENCE_TOKENS = 1024
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: four fifths or more of their five-word shingles in common."""
     return without_near_copies(docs)
 
 

@@ -1,0 +1,192 @@
+"""Near copies by the exact Jaccard likeness of word shingles, for the pipeline.
+
+Two texts are linked if their sets of SHINGLE-word shingles have a likeness of LIKENESS or more. All such pairs are found, by prefix
+filtering: under any one order of all shingles, two sets that are so alike share a shingle among the first n - ceil(LIKENESS n) + 1 of
+each. The order puts shingles that are common in a bounded sample last and is by hash otherwise; the sample changes the cost only, never
+the links. Each candidate pair is confirmed on the whole sets.
+
+First each set of a shared shingle meets the least one there, and the confirmed pairs make components; then only sets of different
+components meet, in tiles. Sizes and the number of shared shingles in the prefixes rule out most pairs before texts are read. So a large group of near copies costs stars, not all
+its pairs, and components are exactly those of all links.
+
+Defined cases: words are split at ASCII white space, and only A-Z change case; a text shorter than a shingle is one shingle; texts without
+a word, null ones too, are alike. A shingle is its XXH64 hash, and sets with the same XXH64 hash of all their shingles are one node.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .encode import in_slices
+from .shared import trimming, written
+
+SHINGLE, LIKENESS = 5, (4, 5)  # four fifths, as whole numbers: no rounding
+#: Documents of the sample that finds common shingles; documents of it that hold a common one; common ones listed at most.
+SAMPLE, COMMON, LISTED = 20_000, 4, 200_000
+#: Sets of a tile; characters, or bytes of sets, held at once.
+TILE, SLICE = 512, 2_000_000
+SEED = 42
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct unsigned 64-bit hashes of a text's shingles, sorted."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, ends = b" ".join(words), [*accumulate([len(w) + 1 for w in words])]
+    return np.unique(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :] or ends[-1:], strict=False)], np.uint64))
+
+
+def node_of(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def prefix_length(n: int) -> int:
+    """Of two sets as alike as LIKENESS, each has at least ceil(LIKENESS n) of its n shingles in common with the other."""
+    return n - -(-LIKENESS[0] * n // LIKENESS[1]) + 1 if n else 0
+
+
+def least_shared(n: str, m: str) -> F.Column:
+    """How many shingles of their prefixes two sets of sizes n and m share at least, if they are as alike as LIKENESS: of the common ones, only
+    those beyond the prefix of the set whose prefix ends first in the order can be elsewhere."""
+    top, bottom = LIKENESS
+    beyond = lambda x: f"(({top} * {x} + {bottom - 1}) div {bottom} - 1)"
+    return F.expr(f"({top} * ({n} + {m}) + {top + bottom - 1}) div {top + bottom} - greatest({beyond(n)}, {beyond(m)})")
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles common in a sample, and how often they are there."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_slices(texts, SLICE):
+                yield pa.record_batch([pa.array(np.concatenate([shingle_set(t) for t in texts[a:b]]).view(np.int64))], ["key"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(trimming(run), "key long")
+    often = drawn.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
+    key, n = often.column("key").to_numpy().astype(np.int64).view(np.uint64), often.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def with_prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, prefix: the first shingles of the set)."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))  # bounded by LISTED
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        keys, counts = common.value
+        often = np.zeros(len(own), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            often = np.where(keys[at] == own, counts[at], 0)
+        return own[np.lexsort((own, often))[: prefix_length(len(own))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in in_slices(texts, SLICE):
+                sets = [shingle_set(t) for t in texts[a:b]]
+                first = [prefix(s) for s in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in first])), pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "node", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimming(run), "doc_id long, node long, n int, prefix array<long>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) whose whole sets are as alike as LIKENESS. Texts come by the nodes' least doc_id, or have none."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = nodes.join(named, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = keyed.join(ids, "doc_id", "left_semi").select("text").unionByName(keyed.where("doc_id is null").select("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for a, b in in_slices(own, SLICE):
+                found = [shingle_set(t) for t in own[a:b]]
+                yield pa.record_batch([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "own"])
+
+    held = written(texts.mapInArrow(trimming(sets), "node long, own binary").dropDuplicates(["node"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                kept.append(LIKENESS[1] * shared >= LIKENESS[0] * (len(both) - shared))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    sided = pairs.join(held.withColumnsRenamed({"node": "a", "own": "own_a"}), "a").join(held.withColumnsRenamed({"node": "b", "own": "own_b"}), "b")
+    return written(sided.select("a", "b", "own_a", "own_b").mapInArrow(trimming(run), "a long, b long"))
+
+
+def crossing_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of met (key, node, n, component) that can be as alike as LIKENESS, in different components."""
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("parts"), (F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
+    dealt = met.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tiles = written(dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "component")).alias("own")))
+    left = tiles.select("key", F.col("part").alias("part_a"), F.col("own").alias("own_a"))
+    pairs = left.join(tiles.withColumnsRenamed({"part": "part_b", "own": "own_b"}), "key").where("part_a <= part_b")
+    pairs = pairs.select("own_a", "own_b", F.expr("part_a = part_b").alias("same"))
+
+    def read(column: pa.Array) -> list[list[np.ndarray]]:
+        at = column.offsets.to_numpy().tolist()
+        fields = [column.values.field(c).to_numpy() for c in ("node", "n", "component")]
+        return [[f[x:y] for f in fields] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (a, n, c), (b, m, d), same in zip(read(batch.column(0)), read(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                least, most = np.minimum(n[:, None], m[None, :]).astype(np.int64), np.maximum(n[:, None], m[None, :]).astype(np.int64)
+                possible = (c[:, None] != d[None, :]) & (LIKENESS[1] * least >= LIKENESS[0] * most)
+                x, y = np.nonzero(np.triu(possible, 1) if same else possible)
+                swap = a[x] > b[y]
+                columns = [np.where(swap, b[y], a[x]), np.where(swap, a[x], b[y]), least[x, y], most[x, y]]
+                yield pa.record_batch([pa.array(v) for v in columns], ["a", "b", "n", "m"])
+
+    found = pairs.mapInArrow(run, "a long, b long, n long, m long")
+    return found.groupBy("a", "b", "n", "m").agg(F.count("*").alias("times")).where(F.col("times") >= least_shared("n", "m")).select("a", "b")
+
+
+def likeness_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id: the smallest doc_id reachable by links)."""
+    own = written(with_prefixes(docs))
+    nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    rows = nodes.select("node", "n", F.explode("prefix").alias("key")).repartition("key")  # both sides of the join read this exchange
+    shared = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("node", "n")).alias("centre")).where("times > 1").drop("times")
+    met = written(rows.join(shared, "key"))
+    apart = met.where("node <> centre.node").groupBy(F.col("centre.node").alias("a"), F.col("node").alias("b"), F.col("centre.n").alias("n_a"), "n")
+    stars = written(apart.agg(F.count("*").alias("times")).where(F.col("times") >= least_shared("n_a", "n")).select("a", "b"))
+    links = confirmed(stars, docs, nodes)
+    groups = connected_components(links)
+    placed = met.drop("centre").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(crossing_pairs(placed).join(stars, ["a", "b"], "left_anti"))
+    if not rest.isEmpty() and not (more := confirmed(rest, docs, nodes)).isEmpty():
+        groups = connected_components(links.unionByName(more))
+    rooted = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "node").join(rooted.select("node", "component"), "node").join(least, "component").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each component: the one with the smallest doc_id. Rows without doc_id stay; of repeated rows one stays."""
+    kept = likeness_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

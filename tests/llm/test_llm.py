@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import chat, lm, mixing, neighbours, packing, quality, records, sharding, simhash, winnow
+from docquarry.llm import chat, jaccard, lm, mixing, neighbours, packing, quality, records, sharding, simhash, winnow
 from docquarry.llm.components import connected_components
 from docquarry.llm.crc32c import masked_crc32c
 from docquarry.llm.encode import encoder
@@ -182,6 +182,53 @@ def test_simhash(wide, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_near_copies_stage_links_like_all_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    g = random.Random(11)
+    passage = [f"p{g.randrange(400)}" for _ in range(40)]
+    rows, base = [], [[f"w{g.randrange(3000)}" for _ in range(g.randint(60, 160))] + passage for _ in range(25)]
+    for b in base:
+        rows.append(b)
+        for _ in range(4):  # one to four edited words: likeness from about 0.75 to 0.95
+            c = list(b)
+            for _ in range(g.randint(1, 4)):
+                c[g.randrange(len(c))] = f"n{g.randrange(10**6)}"
+            rows.append(c)
+    rows += [["One", "two"], ["one", "TWO"], [], []]
+    for _ in range(80):  # one large group, by chains of edits
+        c = list(rows[-1]) if len(rows) > 129 else [f"h{k}" for k in range(120)]
+        c[g.randrange(len(c))] = f"n{g.randrange(10**6)}"
+        rows.append(c)
+    table = spark.createDataFrame([(k, " ".join(w), "en", "a", 0) for k, w in enumerate(rows)], DOCS)
+    sets = []
+    for w in (" ".join(w).lower().split() for w in rows):
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = reach(len(rows), alike)
+    least = {}
+    for k, r in enumerate(root):
+        least.setdefault(r, k)
+    assert len(alike) > 100
+    kept = corpus_pipeline.near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.likeness_groups(table).collect()} == {k: least[r] for k, r in enumerate(root)}
+    # each edited pair that no star finds is found in the tiles: all pairs of a bucket, without components
+    own = jaccard.with_prefixes(table).select("doc_id", "node", "n", F.explode("prefix").alias("key")).withColumn("component", F.col("node"))
+    node = {r["doc_id"]: r["node"] for r in own.select("doc_id", "node").distinct().collect()}
+    found = {(r["a"], r["b"]) for r in jaccard.crossing_pairs(own.drop("doc_id").distinct()).collect()}
+    assert {(min(x), max(x)) for x in ((node[a], node[b]) for a, b in alike if a in node and b in node) if x[0] != x[1]} <= found
+
+
+def test_near_copies_stage_of_nulls_and_nothing(spark, wide, empty):
+    assert jaccard.without_near_copies(empty).count() == 0
+    kept = jaccard.without_near_copies(wide)
+    assert kept.columns == wide.columns
+    assert [r for r in kept.collect() if r["doc_id"] is None and r["text"] == "no id here"]
+
+
 def test_simhash_links_like_all_pairs(spark):
     base = [rng.getrandbits(64) for _ in range(60)]
     near = [p ^ 1 << rng.randrange(64) for p in base for _ in range(4)]
