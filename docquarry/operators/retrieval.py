@@ -59,14 +59,14 @@ def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (q, u), (r, v) in zip(read(batch.column(0)), read(batch.column(1)), strict=True):
-                score = u @ v.T
+                score = np.round(u @ v.T, 6)  # as ranked in the end, so that the cut keeps the same rows of equal scores
                 score[q[:, None] == r[None, :]] = -2
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                best = np.lexsort((np.broadcast_to(r, score.shape), -score), axis=1)[:, :k]
                 flat = [pa.array(np.repeat(q, best.shape[1])), pa.array(r[best].reshape(-1)), pa.array(np.take_along_axis(score, best, axis=1).reshape(-1))]
                 yield pa.record_batch(flat, ["query", key, "score"])
 
     pairs = tiles(queries, "a").join(tiles(rows, "b"), scope).select("a", "b")
-    found = pairs.mapInArrow(run, f"query long, {key} long, score double").where("score > -2").withColumn("score", F.round("score", 6))
+    found = pairs.mapInArrow(run, f"query long, {key} long, score double").where("score > -2")
     return top_of_group(found, ["query"], [F.desc("score"), F.asc(key)], k)
 
 

@@ -18,7 +18,7 @@ from docquarry.operators.chunking import pack_rows, token_windows
 from docquarry.operators.governance import proportional_sample, pseudonym, redact, table_digest
 from docquarry.operators.intervals import overlap_join, sweep, union_length
 from docquarry.operators.ranking import fuse_ranks, top_with_ties
-from docquarry.operators.retrieval import bm25
+from docquarry.operators.retrieval import bm25, exact_cosine
 from docquarry.sources import sinks, tables
 
 DATA = "/root/testdata/sf0.001"
@@ -100,6 +100,13 @@ def test_rank_fusion(spark):
     assert [i for i, _ in got] == ["a", "c", "b", "d"] and math.isclose(got[0][1], 1 / 61 + 1 / 63)
 
 
+def test_exact_cosine_keeps_the_least_keys_of_equal_scores(spark):
+    rows = [(k, 0, [1.0, 2.0 + 1e-9 * (k % 7)]) for k in range(1500, 0, -1)] + [(0, 0, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "id long, g int, e array<double>").coalesce(1)
+    found = exact_cosine(table, table.where("id in (0, 700)"), "id", "e", "g", 3).collect()
+    assert sorted((r["query"], r["rank"], r["id"]) for r in found) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (700, 1, 1), (700, 2, 2), (700, 3, 3)]
+
+
 def test_ties_are_kept(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate([3, 1, 1, 2, None])], "k int, v int")
     assert {r["k"] for r in top_with_ties(df, "v", 1).collect()} == {1, 2}
