@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docquarry.operators.governance import table_digest
 
@@ -12,19 +16,40 @@ class ResidualIdentifier(ValueError):
     """A text still holds an identifier that it must not show."""
 
 
+ESCAPE = re.compile(r'\\(["\\/bfnrt]|u[0-9a-fA-F]{4})')
+MEANT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+@F.pandas_udf(StringType())
+def decoded(line: pd.Series) -> pd.Series:
+    """A JSON line and what its escapes stand for, decoded until nothing changes, one after another."""
+
+    def stages(text: str) -> str:
+        out = [text]
+        while (text := ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else MEANT.get(m[1], m[1]), text)) != out[-1]:
+            out.append(text)
+        return "\0".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+    return line.map(stages)
+
+
 def write_json_lines(df: DataFrame, path: str, compression: str = "gzip") -> None:
     """A folder of JSON lines; the job commits all files or none."""
     df.write.mode("errorifexists").option("compression", compression).json(path)
 
 
 def write_scrubbed(df: DataFrame, path: str, identifiers: DataFrame, text: str, identifier: str = "identifier", gram: int = 4) -> None:
-    """Writes JSON lines unless a text holds an identifier. Texts and identifiers meet by the identifier's first characters."""
-    own = identifiers.select(F.col(identifier).alias("__id")).where(F.length("__id") >= gram).distinct()
+    """Writes JSON lines unless a line, its names and all its columns, or the text column holds an identifier that is not empty. Lines
+    and identifiers meet by the identifier's first characters, all of a shorter one."""
+    own = identifiers.select(F.col(identifier).cast("string").alias("__id")).where(F.length("__id") > 0).distinct()
     keyed = own.withColumn("__k", F.substring("__id", 1, gram))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - gram + 1)), lambda i: F.substr(F.col(text), i, F.lit(gram)))
-    met = df.select(text, F.explode(F.array_distinct(grams)).alias("__k")).join(keyed, "__k").where(F.col(text).contains(F.col("__id")))
-    if not met.isEmpty():
-        raise ResidualIdentifier("a text still holds an identifier")
+    lengths = sorted(r[0] for r in keyed.select(F.length("__k")).distinct().collect())  # gram values at most
+    lines = df.select(F.concat_ws("\0", decoded(F.to_json(F.struct(*df.columns))), F.col(text).cast("string")).alias("__line"))
+    for n in lengths:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__line") - n + 1)), lambda i: F.substr(F.col("__line"), i, F.lit(n)))  # noqa: B023
+        met = lines.select("__line", F.explode(F.array_distinct(grams)).alias("__k")).join(keyed.where(F.length("__k") == n), "__k")
+        if not met.where(F.col("__line").contains(F.col("__id"))).isEmpty():
+            raise ResidualIdentifier("a text still holds an identifier")
     write_json_lines(df, path)
 
 

@@ -195,6 +195,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.markdown(names.where("filename = 'a.exe'"), ["filename"]).splitlines()[-1] == "| a.exe |"
 
 
+def test_scrubbed_output_refuses_any_identifier_in_any_column(spark, tmp_path):
+    df = spark.createDataFrame([("clean", "by kim", 'say "a\\b"\nnow', 7)], "t string, who string, more string, n int")
+    for k, name in enumerate(["kim", "by", "7", 'y "a\\', "b\"\nn", "clean"]):
+        with pytest.raises(sinks.ResidualIdentifier):
+            sinks.write_scrubbed(df, f"file://{tmp_path}/refused{k}", spark.createDataFrame([(name,)], "identifier string"), "t")
+    sinks.write_scrubbed(df, f"file://{tmp_path}/out", spark.createDataFrame([("zq",), ("",), (None,), ("kimm",), ("x",)], "identifier string"), "t")
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 1
+
+
 def test_unknown_filters_are_refused(spark):
     from docquarry.operators.predicates import Filter, query_metadata
     from docquarry.plans.metadata import FIELDS
