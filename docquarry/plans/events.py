@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.statistics import holm, kappa, mcnemar, wilson
 from docquarry.operators.ledger import latest_state, once, shares, totals, warnings
 from docquarry.sources.tables import table
-from docquarry.streaming.windows import deduplicated, event_stream, run_to_table, sessions, windowed_counts
+from docquarry.streaming.windows import deduplicated, event_stream, run_to_table, sessions, whole_lateness, windowed_counts
 
 from .registry import query
 
@@ -155,11 +155,13 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, floor(epoch(min(ts)))::BIGINT AS session_start, floor(epoch(max(ts) + INTERVAL 6 HOUR))::BIGINT AS session_end, count(*) AS n FROM i GROUP BY user_id, s"""
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return run_to_table(sessions(event_stream(spark, f"{d}/events.parquet"), "6 hours"), "complete")
+    path = f"{d}/events.parquet"
+    return run_to_table(sessions(event_stream(spark, path), "6 hours", whole_lateness(spark, path)), "complete")
 
 
 @query("SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY ALL")
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     """One event of each user and type."""
-    kept = run_to_table(deduplicated(event_stream(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "400 days"), "append")
+    path = f"{d}/events.parquet"
+    kept = run_to_table(deduplicated(event_stream(spark, path), ["user_id", "event_type"], whole_lateness(spark, path)), "append")
     return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

@@ -16,6 +16,13 @@ def event_stream(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFr
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def whole_lateness(spark: SparkSession, path: str) -> str:
+    """A watermark's delay under which no event of a table is late, in whatever order its files are read."""
+    ts = F.col("ts").cast("timestamp")
+    span = spark.read.parquet(path).agg(F.unix_seconds(F.max(ts)) - F.unix_seconds(F.min(ts))).first()[0]
+    return f"{(span or 0) + 1} seconds"
+
+
 def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream until its input is used up. Each micro-batch is a folder of its own in the shared folder, replaced if it is run again;
     complete mode returns the last one, append and update mode all of them."""

@@ -204,6 +204,20 @@ def test_scrubbed_output_refuses_any_identifier_in_any_column(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out").count() == 1
 
 
+def test_streams_of_files_out_of_time_order(spark, tmp_path):
+    day, start = 86400, 1_700_000_000
+    path = f"{tmp_path}/events.parquet"
+    for k in reversed(range(9)):  # the newest first; files are read in the order of their times
+        rows = [(100 * k + j, start + 100 * day * k + 3600 * j, j % 3, f"t{k % 2}", 1.0, None) for j in range(6)]
+        part = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+        part.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(f"file://{path}")
+    table = spark.read.parquet(f"file://{path}")
+    got = plans.QUERIES["stream_sessions"](spark, f"file://{tmp_path}").collect()
+    assert sum(r["n"] for r in got) == table.count() and len(got) == 27
+    kept = plans.QUERIES["stream_deduplicated"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r["user_id"], r["event_type"], r["n"]) for r in kept) == [(u, t, 1) for u in range(3) for t in ("t0", "t1")]
+
+
 def test_unknown_filters_are_refused(spark):
     from docquarry.operators.predicates import Filter, query_metadata
     from docquarry.plans.metadata import FIELDS
