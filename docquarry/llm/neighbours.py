@@ -3,9 +3,9 @@
 Equal vectors become one node that counts its copies. Each node keeps a list of its nearest neighbours so far. Lists start from blocks of
 nodes that fall on the same sides of random planes; then each round joins neighbours of neighbours: all nodes near one pivot meet in
 a block of bounded size, are compared there in double precision, and keep the best. A popular pivot has several blocks. Pairs of the
-lists at or over the threshold are links, and links make components. A node whose whole list is over the threshold is saturated; the
-lists of its component are enlarged to the whole component, compared tile by tile, of which only counts leave a task.
-An audit compares a bounded sample of nodes with all others; while too few of its links are known, more planes and rounds follow.
+lists at or over the threshold are links, and links make groups. As lists are bounded and planes random, these are not yet all links; so
+nodes are laid into tiles, those of a large group together, and all pairs of tiles of a label are compared but for those whose centres
+are further apart than their radii and the threshold allow. Of a pair of tiles only counts and a star for each group leave a task.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite numbers, or has a null label, links with nothing, as do
 vectors of different lengths; equal vectors link with each other; repeated ids are separate vectors, and a null vec_id gives no
@@ -14,7 +14,6 @@ component id; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, local_stars
 from .shared import written
 
 
@@ -34,10 +33,8 @@ class Settings:
     block: int = 64  # nodes compared at once
     tables: int = 6  # sets of random planes, each time
     rounds: int = 2  # joins of neighbours' neighbours, each time
-    tile: int = 512  # nodes of an enlarged list compared at once
-    audit: int = 1000  # nodes of the audit
-    goal: float = 0.99  # share of the audit's links to be known
-    passes: int = 3
+    tile: int = 512  # nodes of a tile, about
+    grid: int = 8  # rows and columns of tiles, each compared by tasks of their own
     seed: int = 0
 
 
@@ -139,89 +136,64 @@ def descend(nodes: DataFrame, known: DataFrame | None, settings: Settings) -> Da
     return lists
 
 
-def enlarged(nodes: DataFrame, group: DataFrame, settings: Settings) -> DataFrame:
-    """(node, n_links) over whole components: group is (node, component)."""
-    sizes = group.groupBy("component").agg(F.ceil(F.count("*") / settings.tile).alias("tiles"))
-    dealt = group.join(sizes, "component").join(nodes.select("node", "e", "copies"), "node")
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    tiles = written(dealt.groupBy("component", "tile", "tiles").agg(F.collect_list(F.struct("node", "e")).alias("own"), F.collect_list("copies").alias("copies")))
-    left = tiles.select("component", F.col("tile").alias("i"), F.col("own").alias("own_a"), F.col("copies").alias("copies_a"))
-    right = tiles.select("component", F.col("tile").alias("j"), F.col("own").alias("own_b"), F.col("copies").alias("copies_b"))
-    pairs = left.join(right, "component").where("i <= j").select("own_a", "own_b", "copies_a", "copies_b", F.expr("i = j").alias("same"))
+def groups_of(lists: DataFrame, settings: Settings) -> DataFrame:
+    """(node, component) of nodes that the lists link."""
+    edges = lists.select("node", F.explode("near").alias("x")).where(F.col("x.sim") >= settings.threshold)
+    return connected_components(edges.select(F.col("node").alias("a"), F.col("x.other").alias("b")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(members(batch.column(0)), members(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
-            ids, counts = [], []
-            for (a, va), (b, vb), ca, cb, same in rows:
-                near = va @ vb.T >= settings.threshold
-                if same:
-                    np.fill_diagonal(near, False)
-                ids.append(a)
-                counts.append(near @ np.array(cb, np.int64))
-                if not same:
-                    ids.append(b)
-                    counts.append(near.T @ np.array(ca, np.int64))
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int64))], ["node", "n"])
 
-    return pairs.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+def apart(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the angle between the centres of unit vectors a and b rules out a link of the two."""
+    centres = [x.mean(axis=0) for x in (a, b)]
+    if not all(np.linalg.norm(c) > 1e-9 for c in centres):
+        return False
+    centres = [c / np.linalg.norm(c) for c in centres]
+    angle = lambda x: float(np.arccos(np.clip(x, -1, 1)))
+    return angle(centres[0] @ centres[1]) > angle((a @ centres[0]).min()) + angle((b @ centres[1]).min()) + angle(threshold) + 1e-6
 
 
 def links(nodes: DataFrame, lists: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of linked nodes and (node, n_links), links to copies of other nodes counted each."""
-    edges = lists.select("node", F.explode("near").alias("x")).where(F.col("x.sim") >= settings.threshold)
-    edges = written(edges.select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct())
-    group = written(connected_components(edges))
-    full = lists.where((F.size("near") >= settings.size) & (F.element_at("near", -1)["sim"] >= settings.threshold)).select("node")
-    crowded = written(group.join(full, "node", "left_semi").select("component").distinct())
-    plain = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    counted = plain.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("n_links"))
-    loose = group.join(crowded, "component", "left_anti").select("node")
-    wide = enlarged(nodes, group.join(crowded, "component", "left_semi"), settings)
-    return group, written(counted.join(loose, "node", "left_semi").unionByName(wide))
-
-
-def audit(nodes: DataFrame, counted: DataFrame, settings: Settings) -> float:
-    """The share of the true links of a bounded sample of nodes that is known."""
-    sample = nodes.orderBy(F.xxhash64("node")).limit(settings.audit).select("node", "kind", "e").collect()
-    by_kind: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for kind in {r["kind"] for r in sample}:
-        own = [r for r in sample if r["kind"] == kind]
-        v = np.array([r["e"] for r in own])
-        by_kind[kind] = np.array([r["node"] for r in own]), v / np.linalg.norm(v, axis=1, keepdims=True)
-    asked = nodes.sparkSession.sparkContext.broadcast(by_kind)  # bounded by settings.audit
+    """(node, component) of linked nodes and (node, n_links), links to copies of other nodes counted each. All links of a kind are found."""
+    group = written(groups_of(lists, settings))
+    large = group.groupBy("component").agg(F.count("*").alias("held")).where(F.col("held") >= settings.tile / 2).select("component")
+    placed = nodes.join(group.join(large, "component", "left_semi"), "node", "left").withColumn("component", F.coalesce("component", F.lit(-1)))
+    sizes = placed.groupBy("kind", "component").agg(F.ceil(F.count("*") / settings.tile).alias("parts"))
+    dealt = placed.join(sizes, ["kind", "component"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tiles = dealt.groupBy("kind", "component", "part").agg(F.collect_list(F.struct("node", "e")).alias("own"), F.collect_list("copies").alias("copies"))
+    tiles = written(tiles.withColumn("tile", F.monotonically_increasing_id()).withColumn("line", F.pmod(F.xxhash64("tile"), F.lit(settings.grid))))
+    lines = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(settings.grid - 1).cast("long")))
+    left = tiles.select("kind", F.col("line").alias("row"), lines.alias("column"), F.col("tile").alias("i"), F.col("own").alias("own_a"), F.col("copies").alias("copies_a"))
+    right = tiles.select("kind", F.col("line").alias("column"), lines.alias("row"), F.col("tile").alias("j"), F.col("own").alias("own_b"), F.col("copies").alias("copies_b"))
+    pairs = left.join(right, ["kind", "row", "column"]).where("i <= j").select("own_a", "own_b", "copies_a", "copies_b", F.expr("i = j").alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, ids, copies, e = np.array(batch.column("kind").to_pylist()), batch.column("node").to_numpy(), batch.column("copies").to_numpy(), batch.column("e")
-            out: list[list] = [[], []]
-            for kind in np.unique(kinds).tolist() if len(kinds) else []:
-                if kind in asked.value:
-                    own = np.flatnonzero(kinds == kind)
-                    v = e.take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1)
-                    q, u = asked.value[kind]
-                    near = (u @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T >= settings.threshold) & (q[:, None] != ids[own][None, :])
-                    out[0].append(q)
-                    out[1].append(near @ copies[own])
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]).astype(np.int64))], ["node", "n"])
+            rows = zip(members(batch.column(0)), members(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            for (a, va), (b, vb), ca, cb, same in rows:
+                if not same and apart(va, vb, settings.threshold):
+                    continue
+                near = va @ vb.T >= settings.threshold
+                if same:
+                    np.fill_diagonal(near, False)
+                u, v = np.nonzero(np.triu(near) if same else near)
+                if not len(u):
+                    continue
+                both = a if same else np.concatenate([a, b])
+                u, v = local_stars(len(both), u, v if same else v + len(a))
+                counts = near @ np.array(cb, np.int64) if same else np.concatenate([near @ np.array(cb, np.int64), near.T @ np.array(ca, np.int64)])
+                for node, n, other in ((both, counts, None), (both[u], np.zeros(len(u), np.int64), both[v])):
+                    yield pa.record_batch([pa.array(node), pa.array(n.astype(np.int64)), pa.nulls(len(node), pa.int64()) if other is None else pa.array(other)], ["node", "n", "other"])
 
-    true = nodes.select("node", "kind", "e", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    known = F.least(F.coalesce("n_links", F.lit(0)), "n")
-    got = true.join(counted, "node", "left").agg(F.sum(known).alias("known"), F.sum("n").alias("n")).first()
-    return got["known"] / got["n"] if got["n"] else 1.0
+    found = written(pairs.mapInArrow(run, "node long, n long, other long"))
+    counted = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n_links"))
+    edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return written(connected_components(edges)), counted
 
 
 def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, label, embedding)."""
-    nodes, lists = nodes_of(vectors), None
-    for k in range(settings.passes):
-        lists = descend(nodes, lists, replace(settings, seed=settings.seed + 1000 * k))
-        group, counted = links(nodes, lists, settings)
-        if (share := audit(nodes, counted, settings)) >= settings.goal:
-            break
-    logging.getLogger(__name__).info("audit: %.4f of the links known", share)
+    nodes = nodes_of(vectors)
+    group, counted = links(nodes, descend(nodes, None, settings), settings)
     rooted = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "component").join(counted, "node", "left")

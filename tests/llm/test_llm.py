@@ -368,6 +368,21 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_between_dense_groups(spark):
+    """Two groups that fill all lists with their own; of the links between them none is in a list."""
+    g = np.random.default_rng(8)
+    axis = np.eye(24)
+    angle = np.arccos(0.985)
+    rows = []
+    for centre in (axis[0], np.cos(angle) * axis[0] + np.sin(angle) * axis[1]):
+        rows += [(len(rows) + k, 0, [*map(float, np.float32(centre + g.standard_normal(24) * 0.004))]) for k in range(40)]
+    rows = [(k, label, e) for k, (_, label, e) in enumerate(rows)]
+    want = Counter(k for x in brute_links(rows) for k in x)
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (want[k], 0) for k in range(len(rows))}
+    assert min(want.values()) > 39  # links beyond the own group
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<|start|>user\nhi<|end|>\n", "<\\s> <\\\\s> <s>", "[INST][\\INST]", "<<SYS>> a <</SYS>>", "", None, "ünï\ncode 日本", "\\", "<|end|", "<|im_end|>"]
     rows = [(k, j, ["user", "assistant", None, "sys\\tem"][j % 4], odd[(k + j) % len(odd)]) for k in range(15) for j in range(1 + k % 5)]
