@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docquarry.llm import chat, jaccard, lm, mixing, neighbours, packing, quality, records, sharding, simhash, winnow
 from docquarry.llm.components import connected_components
@@ -47,19 +48,25 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+PLAIN = Tokenizer.from_file(TOKENIZER)  # as the library gives it
+
+
 def ids_of(t):
-    return [*encoder(TOKENIZER).tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    return [*PLAIN.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_equals_the_tokenizer():
-    own = encoder(TOKENIZER)
-    parts = [" ", "  ", "\n", "a", "Be", ".", "\t", "\xa0", "'s", "é", "<|endoftext|>", "7", "日", "\x1c", " \n"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [None, LONG]
-    assert own.encode(texts) == own.ids([t or "" for t in texts])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_a_plain_call(name):
+    path = public_tokenizers.path(name)
+    own, plain = encoder(path), Tokenizer.from_file(path)
+    parts = [" ", "  ", "\n", "\n\n", "a", "Be", ".", "\t", "\xa0", "\u2003", "'s", "é", "×", "ß", "ª", "<|endoftext|>", "7", "42", "日", "\x1c", " \n", "\0", "--"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + [None, LONG]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert own.encode([]) == [] and own.encode([None, ""]) == [b"", b""]
 
 
 def test_masked_checksums():
