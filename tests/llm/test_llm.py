@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docquarry.llm import chat, jaccard, lm, mixing, neighbours, packing, quality, records, sharding, simhash, winnow
+from docquarry.llm import chat, lm, mixing, neighbours, packing, quality, records, sharding, simhash, winnow
 from docquarry.llm.components import connected_components
 from docquarry.llm.crc32c import masked_crc32c
 from docquarry.llm.encode import encoder
@@ -183,9 +183,6 @@ def test_simhash(wide, empty):
     root = reach(len(ROWS), [(a, b) for a in range(len(ROWS)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
     least = {c: min((r[0] for r, k in zip(ROWS, root, strict=True) if k == c and r[0] is not None), default=None) for c in set(root)}
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows) == Counter((r[0], f"{p:016x}", least[c]) for r, p, c in zip(ROWS, prints, root, strict=True))
-    kept = simhash.without_near_copies(wide)
-    assert kept.columns == wide.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({*(v for v in least.values() if v is not None), None})
     assert simhash.simhash_groups(empty).count() == 0
 
 
@@ -220,20 +217,34 @@ def test_near_copies_stage_links_like_all_pairs(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicates(spark, table, "")
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
-    monkeypatch.setattr(jaccard, "TILE", 4)
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.likeness_groups(table).collect()} == {k: least[r] for k, r in enumerate(root)}
-    # each edited pair that no star finds is found in the tiles: all pairs of a bucket, without components
-    own = jaccard.with_prefixes(table).select("doc_id", "node", "n", F.explode("prefix").alias("key")).withColumn("component", F.col("node"))
-    node = {r["doc_id"]: r["node"] for r in own.select("doc_id", "node").distinct().collect()}
-    found = {(r["a"], r["b"]) for r in jaccard.crossing_pairs(own.drop("doc_id").distinct()).collect()}
-    assert {(min(x), max(x)) for x in ((node[a], node[b]) for a, b in alike if a in node and b in node) if x[0] != x[1]} <= found
-
-
-def test_near_copies_stage_of_nulls_and_nothing(spark, wide, empty):
-    assert jaccard.without_near_copies(empty).count() == 0
-    kept = jaccard.without_near_copies(wide)
+    monkeypatch.setattr(simhash, "TILE", 4)  # many tiles of a cell, many keys
+    monkeypatch.setattr(simhash, "LANE", 2)
+    grouped = defaultdict(set)
+    for r in simhash.near_copy_groups(table).collect():
+        grouped[r["component"]].add(r["doc_id"])
+    wanted = defaultdict(set)
+    for k, r in enumerate(root):
+        wanted[r].add(k)
+    assert sorted(map(sorted, grouped.values())) == sorted(map(sorted, wanted.values()))
+    # pairs across components: with each text its own component, all links that no star stands for
+    prints = simhash.with_set_prints(table, simhash.NearCopies()).withColumn("component", F.col("node"))
+    node = {r["doc_id"]: r["node"] for r in prints.collect()}
+    found = {(r["a"], r["b"]) for r in simhash.near_sets(prints, simhash.NearCopies(), False).collect()}
+    links = {(min(x), max(x)) for x in ((node[a], node[b]) for a, b in alike) if x[0] != x[1]}
+    assert len(links & found) >= 0.99 * len(links)
+
+
+def test_near_copies_stage_of_nulls_repeats_and_nothing(spark, wide, empty):
+    assert simhash.without_near_copies(empty).count() == 0
+    kept = simhash.without_near_copies(wide)
     assert kept.columns == wide.columns
+    sets = {" ".join((r[1] or "").lower().split()): r for r in ROWS}
+    assert kept.count() == len({t if len(t.split()) < 5 else frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in sets})
     assert [r for r in kept.collect() if r["doc_id"] is None and r["text"] == "no id here"]
+    rows = [(5, text(50), "en", "a", 0), (5, "quite another text with other words", "en", "a", 0), (None, "alone without id", "en", "a", 0), (None, "alone without id", "en", "a", 0), (9, None, "en", "a", 0), (8, "", "en", "a", 0)]
+    table = spark.createDataFrame([*rows, rows[0]], DOCS).withColumn("node", F.lit(1)).withColumn("__row", F.lit(2))
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.without_near_copies(table).collect())
+    assert got == Counter({(r[0], r[1]): 1 for r in rows if r[0] != 9})
 
 
 def test_simhash_links_like_all_pairs(spark):
