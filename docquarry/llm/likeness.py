@@ -1,4 +1,4 @@
-"""Exact Jaccard likeness of word shingles, by which operator 3 confirms candidates.
+"""Sets of word shingles, by whose exact Jaccard likeness operator 3 confirms candidates.
 
 Words are split at ASCII white space, and only A-Z change case; a text shorter than a shingle is one shingle; texts without a word, null
 ones too, have the empty set. A shingle is its XXH64 hash; a node is the XXH64 hash of all hashes of a set, so texts with equal sets are
@@ -40,33 +40,18 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, likeness: tuple[int, int]) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets have a Jaccard likeness of the given fraction or more. Texts come by the nodes' least doc_id
-    (nodes: node, least), or have none."""
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def sets_of(named: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, own: the set's sorted hashes as bytes) of the named nodes and maybe some more. Texts come by the nodes' least doc_id (nodes: node,
+    least), or have none."""
     ids = nodes.join(named, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = keyed.join(ids, "doc_id", "left_semi").select("text").unionByName(keyed.where("doc_id is null").select("text"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_pylist()
             for a, b in in_slices(own, SLICE):
-                found = [shingle_set(t, shingle) for t in own[a:b]]
-                yield pa.record_batch([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "own"])
-
-    held = written(texts.mapInArrow(trimming(sets), "node long, own binary").dropDuplicates(["node"]))
+                found = {node_of(s): s for s in (shingle_set(t, shingle) for t in own[a:b])}
+                yield pa.record_batch([pa.array([*found], pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "own"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                kept.append(likeness[1] * shared >= likeness[0] * (len(both) - shared))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-    sided = pairs.join(held.withColumnsRenamed({"node": "a", "own": "own_a"}), "a").join(held.withColumnsRenamed({"node": "b", "own": "own_b"}), "b")
-    return written(sided.select("a", "b", "own_a", "own_b").mapInArrow(trimming(run), "a long, b long"))
+    return written(texts.mapInArrow(trimming(run), "node long, own binary").dropDuplicates(["node"]))

@@ -6,10 +6,10 @@ counts differ in sum, so only tiles whose counts differ by at most the radius ar
 numpy compares all fingerprints by exclusive-or and bit counts, and hands on at most a star for each group it finds, not all its links.
 A crowded cell of equal counts is split into several tiles by hash, and all pairs of these tiles are compared, by many tasks.
 
-`without_near_copies` takes the same fingerprints, of 128 bits and of distinct shingles, as a filter with a wide radius, and confirms each
-candidate pair by the exact Jaccard likeness of the whole texts. Counts rarely differ by so much, so there the cells are those of set
-sizes (texts of too different sizes can't be alike), tiles hold neighbouring population counts, and pairs of tiles whose counts
-differ beyond the radius are skipped. First stars are confirmed, which make components; then pairs across components.
+`without_near_copies` takes such fingerprints, of 512 bits and of distinct shingles, as a filter with a wide radius. Counts rarely differ
+by so much, so there the cells are those of set sizes (texts of too different sizes can't be alike), tiles hold neighbouring population
+counts, and pairs of tiles whose counts differ beyond the radius are skipped. Its stars make candidate groups; inside each, candidate
+pairs that aren't connected yet are confirmed by the exact Jaccard likeness of the whole texts, again by pairs of tiles.
 
 Defined cases: a null text is the empty text; texts without a word have the fingerprint zero and are linked like any others; equal
 texts share a fingerprint; a row without doc_id joins a component but gives it no id; repeated rows are each returned; an empty
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, local_stars
 from .encode import in_slices
-from .likeness import SLICE, confirmed, node_of, shingle_set
+from .likeness import SLICE, node_of, sets_of, shingle_set
 from .shared import trimming, written
 
 #: Fingerprints in a tile, about; rows of a tile compared at once.
 TILE, STRIP = 2048, 256
 #: Tiles of a cell that a key of the join of tiles holds at most.
 LANE = 16
+#: Bytes of the sets in a tile of a candidate group, about.
+TILE_BYTES = 4_000_000
 #: Bits of a word and of its count in a cell number.
 WORD, FIELD = 16, 5
 
@@ -166,18 +168,25 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFr
 @dataclass(frozen=True)
 class NearCopies:
     """Texts are near copies if their sets of word shingles have a Jaccard likeness of `likeness` (a fraction) or more. Radii of the filter: bits
-    in which the first 64, and all 128 bits of a fingerprint may differ. Sets at the likeness of 4/5 differ in about 9.7 of 64 and 19.4 of
-    128 bits, with deviations of 2.9 and 4.1, so the radii find about 995 of 1000 pairs at the very threshold, and nearly all beyond it."""
+    in which the first 64 bits, and all 512, may differ. Sets at the likeness of 4/5 differ in about 9.7 and 77.6 of them, with
+    deviations of 2.9 and 8.1, so the radii find about 995 of 1000 pairs at the very threshold, and nearly all beyond it. Of very small
+    sets each shingle moves more bits: there the radii are wider."""
 
     shingle: int = 5
     likeness: tuple[int, int] = (4, 5)
     radius: int = 17
-    wide_radius: int = 31
+    wide_radius: int = 100
+    small: int = 8  # shingles; below, radii grow by the next two numbers
+    more: int = 6
+    wide_more: int = 50
     steps: int = 4  # cells of set sizes for one likeness
 
 
+PRINT = [f"w{k}" for k in range(8)]
+
+
 def with_set_prints(docs: DataFrame, settings: NearCopies) -> DataFrame:
-    """(doc_id, digest: hash of the text, node, n: shingles, p, q: 128 bits) for each row of docs."""
+    """(doc_id, digest: hash of the text, node, n: shingles, 512 bits in eight columns) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,93 +194,133 @@ def with_set_prints(docs: DataFrame, settings: NearCopies) -> DataFrame:
             for a, b in in_slices(texts, SLICE):
                 sets = [shingle_set(t, settings.shingle) for t in texts[a:b]]
                 n = np.array([len(s) for s in sets], np.int64)
-                both = np.zeros((2, len(sets)), np.uint64)
+                words = np.zeros((len(PRINT), len(sets)), np.uint64)
                 if len(full := np.flatnonzero(n)):
                     h = np.concatenate(sets)
-                    with np.errstate(over="ignore"):
-                        again = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-                        again = (again ^ (again >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                    for k, own in enumerate((h, again ^ (again >> np.uint64(32)))):
-                        both[k, full] = majority(own, (np.cumsum(n) - n)[full], n[full])
-                columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array(n), *[pa.array(x.view(np.int64)) for x in both]]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "digest", "node", "n", "p", "q"])
+                    for k in range(len(PRINT)):
+                        words[k, full] = majority(h, (np.cumsum(n) - n)[full], n[full])
+                        with np.errstate(over="ignore"):  # the next hash of each shingle
+                            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                            h ^= h >> np.uint64(31)
+                columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array(n), *[pa.array(x.view(np.int64)) for x in words]]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "digest", "node", "n", *PRINT])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    return asked.mapInArrow(trimming(run), "doc_id long, digest long, node long, n long, p long, q long")
+    return asked.mapInArrow(trimming(run), "doc_id long, digest long, node long, n long, " + ", ".join(f"{w} long" for w in PRINT))
+
+
+@dataclass
+class Tile:
+    """Nodes with their set sizes and fingerprints."""
+
+    node: np.ndarray
+    n: np.ndarray
+    words: list[np.ndarray]
+
+    def near(self, other: Tile, same: bool, settings: NearCopies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in both tiles of pairs within the radii and of sizes that may be alike, and the bits in which they differ."""
+        small = min(self.n.min(), other.n.min()) < settings.small
+        radius = settings.radius + settings.more * small
+        ones = [np.bitwise_count(x.words[0]).astype(np.int64) for x in (self, other)]
+        none = np.zeros(0, np.int64)
+        if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
+            return none, none, none
+        top, bottom = settings.likeness
+        found = []
+        for s in range(0, len(self.n), STRIP):
+            u, v = np.nonzero(np.bitwise_count(self.words[0][s : s + STRIP, None] ^ other.words[0][None, :]) <= radius)
+            u += s
+            least = np.minimum(self.n[u], other.n[v])
+            apart = sum(np.bitwise_count(x[u] ^ y[v]).astype(np.int64) for x, y in zip(self.words, other.words, strict=True))
+            kept = (apart <= settings.wide_radius + settings.wide_more * (least < settings.small)) & (bottom * least >= top * np.maximum(self.n[u], other.n[v]))
+            if same:
+                kept &= v > u
+            found.append((u[kept], v[kept], apart[kept]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
 
+def read_tiles(column: pa.Array) -> Iterator[tuple[Tile, list[np.ndarray] | None]]:
+    """Tiles of list<struct<node, n, words[, own]>>, with the sets of their nodes if there are any."""
+    inner, at = column.values, column.offsets.to_numpy().tolist()
+    field = lambda c: inner.field(c).to_numpy()
+    node, n, words = field("node"), field("n"), [field(w).view(np.uint64) for w in PRINT]
+    own = inner.field("own") if inner.type.get_field_index("own") >= 0 else None
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        sets = None if own is None else [np.frombuffer(own[k].as_buffer(), np.uint64) for k in range(x, y)]
+        yield Tile(node[x:y], n[x:y], [w[x:y] for w in words]), sets
 
-def set_tiles(nodes: DataFrame, settings: NearCopies) -> tuple[DataFrame, DataFrame]:
-    """Tiles (cell, part, own) and (cell, parts) of nodes (node, n, p, q, component). A cell is a range of set sizes; its tiles follow
+
+def candidate_stars(nodes: DataFrame, settings: NearCopies) -> DataFrame:
+    """Edges (a, b) that connect nodes (node, n, prints) exactly as all pairs within the radii do. A cell is a range of set sizes; its tiles follow
     population counts."""
     top, bottom = settings.likeness
     width = math.log(bottom / top) / settings.steps * (1 + 1e-9)
-    placed = nodes.where("n > 0").withColumns({"cell": F.floor(F.log("n") / width).cast("long"), "ones": F.bit_count("p")})
+    placed = nodes.where("n > 0").select("node", "n", *PRINT, F.floor(F.log("n") / width).cast("long").alias("cell"), F.bit_count(PRINT[0]).alias("ones"))
     counts = placed.groupBy("cell", "ones").agg(F.count("*").alias("held"))  # at most 65 rows a cell, some hundred cells
-    before = F.sum("held").over(Window.partitionBy("cell").orderBy("ones")) - F.col("held")
-    counts = counts.withColumn("before", before)
-    place = F.expr(f"(before + pmod(xxhash64(node), held)) div {TILE}")
-    dealt = placed.join(F.broadcast(counts), ["cell", "ones"]).withColumn("part", place)
-    tiles = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "n", "p", "q", "component")).alias("own"))
+    counts = counts.withColumn("before", F.sum("held").over(Window.partitionBy("cell").orderBy("ones")) - F.col("held"))
+    dealt = placed.join(F.broadcast(counts), ["cell", "ones"]).withColumn("part", F.expr(f"(before + pmod(xxhash64(node), held)) div {TILE}"))
+    tiles = written(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "n", *PRINT)).alias("own")))
     sizes = counts.groupBy("cell").agg(F.expr(f"(sum(held) - 1) div {TILE} + 1").alias("parts"))
-    return written(tiles), F.broadcast(sizes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (a, _), (b, _), same in zip(read_tiles(batch.column(0)), read_tiles(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                u, v, _ = a.near(b, same, settings)
+                if len(u):
+                    both = a.node if same else np.concatenate([a.node, b.node])
+                    u, v = local_stars(len(both), u, v if same else v + len(a.node))
+                    yield pa.record_batch([pa.array(both[u]), pa.array(both[v])], ["a", "b"])
 
-def near_sets(nodes: DataFrame, settings: NearCopies, stars: bool) -> DataFrame:
-    """Candidate pairs (a, b) of nodes within the radii and of sizes that may be alike: stars over the groups of each pair of tiles, or else all
-    pairs of different components."""
-    top, bottom = settings.likeness
+    return pairs_of_tiles(tiles, F.broadcast(sizes), [*range(settings.steps + 1)]).mapInArrow(run, "a long, b long")
 
-    def read(column: pa.Array) -> list[list[np.ndarray]]:
-        at = column.offsets.to_numpy().tolist()
-        fields = [column.values.field(c).to_numpy() for c in ("node", "n", "p", "q", "component")]
-        return [[f[x:y].view(np.uint64) if k in (2, 3) else f[x:y] for k, f in enumerate(fields)] for x, y in zip(at[:-1], at[1:], strict=True)]
-
-    def pair(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-        ones = [np.bitwise_count(x[2]).astype(np.int64) for x in (a, b)]
-        if ones[0].min() - ones[1].max() > settings.radius or ones[1].min() - ones[0].max() > settings.radius:
-            return a[0][:0], a[0][:0]
-        us, vs = [], []
-        for s in range(0, len(a[0]), STRIP):
-            u, v = np.nonzero(np.bitwise_count(a[2][s : s + STRIP, None] ^ b[2][None, :]) <= settings.radius)
-            u += s
-            near = np.bitwise_count(a[2][u] ^ b[2][v]).astype(np.int64) + np.bitwise_count(a[3][u] ^ b[3][v]) <= settings.wide_radius
-            near &= bottom * np.minimum(a[1][u], b[1][v]) >= top * np.maximum(a[1][u], b[1][v])
-            if same:
-                near &= v > u
-            if not stars:
-                near &= a[4][u] != b[4][v]
-            us.append(u[near])
-            vs.append(v[near])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if not stars:
-            return a[0][u], b[0][v]
-        both = a[0] if same else np.concatenate([a[0], b[0]])
-        u, v = local_stars(len(both), u, v if same else v + len(a[0]))
-        return both[u], both[v]
+
+def confirmed_links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, settings: NearCopies) -> DataFrame:
+    """Edges (a, b) that connect nodes exactly as all candidate pairs with the asked likeness do. groups: (node, component) of candidates."""
+    top, bottom = settings.likeness
+    sets = sets_of(groups, nodes, docs, settings.shingle)
+    placed = sets.join(groups, "node").join(nodes.select("node", "n", *PRINT), "node").withColumnRenamed("component", "cell")
+    sizes = written(placed.groupBy("cell").agg(F.sum("n").alias("all")).select("cell", F.expr(f"(all * 8 - 1) div {TILE_BYTES} + 1").alias("parts")))
+    dealt = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    tiles = written(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "n", *PRINT, "own")).alias("own")))
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate([x, y])
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        return bottom * shared >= top * (len(both) - shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, same in zip(read(batch.column(0)), read(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                u, v = pair(a, b, same)
-                if len(u):
-                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+            for (a, x), (b, y), same in zip(read_tiles(batch.column(0)), read_tiles(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                u, v, apart = a.near(b, same, settings)
+                root = list(range(len(a.node) + (0 if same else len(b.node))))
+
+                def find(k: int) -> int:
+                    while root[k] != k:
+                        root[k] = root[root[k]]
+                        k = root[k]
+                    return k
+
+                links: list[tuple[int, int]] = []
+                for k in np.argsort(apart, kind="stable").tolist():  # the likeliest first: more pairs are connected by then
+                    i, j = int(u[k]), int(v[k])
+                    r, t = find(i), find(j if same else j + len(a.node))
+                    if r != t and alike(x[i], y[j]):
+                        root[r] = t
+                        links.append((int(a.node[i]), int(b.node[j])))
+                if links:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    tiles, sizes = set_tiles(nodes, settings)
-    return pairs_of_tiles(tiles, sizes, [*range(settings.steps + 1)]).mapInArrow(run, "a long, b long").distinct()
+    return pairs_of_tiles(tiles, sizes, [0]).mapInArrow(trimming(run), "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame, settings: NearCopies = NearCopies()) -> DataFrame:
     """(doc_id, digest, component): the rows of docs with the group of near copies that each is in."""
     own = written(with_set_prints(docs, settings))
-    nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "p", "q")]))
-    confirm = lambda pairs: confirmed(pairs, docs, nodes, settings.shingle, settings.likeness)
-    stars = written(near_sets(nodes.withColumn("component", F.col("node")), settings, True))
-    links = confirm(stars)
-    groups = connected_components(links)
-    placed = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(near_sets(placed, settings, False).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty() and not (more := confirm(rest)).isEmpty():
-        groups = connected_components(links.unionByName(more))
+    nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *PRINT)]))
+    candidates = written(connected_components(candidate_stars(nodes, settings)))
+    groups = connected_components(confirmed_links(candidates, nodes, docs, settings))
     return own.select("doc_id", "digest", "node").join(groups, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
 
 

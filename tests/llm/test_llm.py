@@ -218,6 +218,7 @@ def test_near_copies_stage_links_like_all_pairs(spark, monkeypatch):
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
     monkeypatch.setattr(simhash, "TILE", 4)  # many tiles of a cell, many keys
+    monkeypatch.setattr(simhash, "TILE_BYTES", 4000)
     monkeypatch.setattr(simhash, "LANE", 2)
     grouped = defaultdict(set)
     for r in simhash.near_copy_groups(table).collect():
@@ -226,12 +227,6 @@ def test_near_copies_stage_links_like_all_pairs(spark, monkeypatch):
     for k, r in enumerate(root):
         wanted[r].add(k)
     assert sorted(map(sorted, grouped.values())) == sorted(map(sorted, wanted.values()))
-    # pairs across components: with each text its own component, all links that no star stands for
-    prints = simhash.with_set_prints(table, simhash.NearCopies()).withColumn("component", F.col("node"))
-    node = {r["doc_id"]: r["node"] for r in prints.collect()}
-    found = {(r["a"], r["b"]) for r in simhash.near_sets(prints, simhash.NearCopies(), False).collect()}
-    links = {(min(x), max(x)) for x in ((node[a], node[b]) for a, b in alike) if x[0] != x[1]}
-    assert len(links & found) >= 0.99 * len(links)
 
 
 def test_near_copies_stage_of_nulls_repeats_and_nothing(spark, wide, empty):
