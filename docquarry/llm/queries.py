@@ -16,7 +16,6 @@ from .packing import pack_documents
 from .quality import quality_scores
 from .records import token_records
 from .shared import documents, written
-from .sharding import extendible_shards
 from .simhash import simhash_groups
 from .winnow import edited_fingerprints
 
@@ -66,7 +65,9 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
+    """Writes the shards and reads them back."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.read_shards(spark, sharding.write_shards(docs, SHARD_BYTES)).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

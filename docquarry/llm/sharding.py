@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_folder, written
@@ -36,12 +36,18 @@ def prefix(column: str, depth: int | F.Column) -> F.Column:
 def split_round(rows: DataFrame, hashed: str, least: int, most: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Cells of `most` bits of a column: (cell, depth, shard_bytes) of those that some prefix from `least` bits on fits, and the others."""
     cells = written(rows.groupBy(prefix(hashed, most).alias("cell")).agg(F.sum("__bytes").alias("bytes"), F.count("*").alias("n")))
-    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(least), F.lit(most))))
-    levels = levels.withColumn("own", F.expr(f"shiftright(cell, {most} - depth)"))
-    sums = levels.groupBy("depth", "own").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("rows"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("rows") == 1)).drop("rows")
+
+    def levels(first: int) -> DataFrame:
+        each = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(most))))
+        return each.withColumn("own", F.expr(f"shiftright(cell, {most} - depth)"))
+
+    sums = levels(least).groupBy("depth", "own").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("rows"))
+    fits = written(sums.where((F.col("shard_bytes") <= limit) | (F.col("rows") == 1)).drop("rows"))
+    # no shorter prefix fits, so no cell asks for one: the shortest ones would be a few keys of all cells
+    shortest = fits.agg(F.min("depth")).first()[0]
+    asked = levels(most if shortest is None else shortest)
     # both sides grow with the cells, and compress so well that Spark would take them for small
-    best = levels.join(fits.hint("merge"), ["depth", "own"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("best"))
+    best = asked.join(fits.hint("merge"), ["depth", "own"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("best"))
     found = written(best.select("cell", "best.depth", "best.shard_bytes"))
     return found, cells.join(found, "cell", "left_anti").select("cell")
 
@@ -83,12 +89,24 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", text: st
 def write_shards(docs: DataFrame, limit: int, path: str | None = None, key: str = "doc_id", text: str = "text") -> str:
     """Writes docs as Parquet, one folder a shard (named by its bits; `root` for no bits), and returns the folder."""
     path = path or shared_folder(docs.sparkSession)
+    if docs.isEmpty():  # no shard, but files with the columns
+        docs.withColumn("__shard", F.lit("root")).write.parquet(path)
+        return path
     placed = placed_rows(docs, limit, key, text, tuple(docs.columns))
     named = placed.select("row.*", F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard")).alias("__shard"))
     named.repartition("__shard").write.partitionBy("__shard").parquet(path)
     return path
 
 
+def read_shards(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
+    """The written rows with shard (its prefix as bits), depth, n_bytes and shard_bytes, all from the files."""
+    rows = spark.read.parquet(path)
+    shard = F.when(F.col("__shard") == "root", "").otherwise(F.substring("__shard", 2, 2 * BITS))
+    read = rows.withColumns({"shard": shard, "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    own = Window.partitionBy("shard")  # as large as a shard
+    return read.withColumns({"depth": F.length("shard"), "shard_bytes": F.sum("n_bytes").over(own)}).drop("__shard")
+
+
 def oracle(limit: int) -> str:
     """DuckDB SQL for the digest of documents by doc_id."""
     return f"""
