@@ -7,8 +7,8 @@ formatted, each as one conversation. A turn is written as
     <|start|>role\\ntext<|end|>\\n
 
 and control strings inside roles and texts are escaped: after the first character of anything that reads like one, with any number of
-backslashes behind that character, one more backslash is put. Taking one away restores the text, and no escaped text holds a control
-string. The loss mask is a list of byte ranges (start, length) of the UTF-8 formatted conversation: the escaped assistant texts.
+backslashes behind that character, one more backslash is put. Taking one away restores the text, and no escaped text holds a turn mark
+of the template (of `<</SYS>>`, a control string of others, the inner `</SYS>>` stays readable). The loss mask is a list of byte ranges (start, length) of the UTF-8 formatted conversation: the escaped assistant texts.
 
 Defined cases: a null text is empty and a null role is the empty role; messages with the same place in a conversation follow one
 another by role and text; a message whose parent is missing is a root; messages on a cycle have no root and are left out; a conversation
@@ -29,7 +29,7 @@ QUOTED = r"(<)\\(\\*)(\|[a-z_]+\|>|/?s>|</?SYS>>|/SYS>>)|(\[)\\(\\*)(/?INST\])"
 
 
 def escape(text: F.Column) -> F.Column:
-    """Reversible: no control string is left."""
+    """Reversible: no turn mark is left."""
     return F.regexp_replace(text, CONTROL, r"$1$4\\$2$5$3$6")
 
 
@@ -109,7 +109,7 @@ def read_loss(formatted: F.Column, mask: F.Column) -> F.Column:
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """Formats conversations and reads them back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    made = written(format_trees(linear_tree(conversations)))
+    made = written(format_trees(linear_tree(conversations), best=1))  # a conversation's best branch is all of it
     read = made.withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", F.array_join(read_loss(F.col("formatted"), F.col("mask")), ""))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
