@@ -6,7 +6,9 @@ counts: each occurrence in the training texts is deleted in turn, so its own cou
 
 Texts are read once and kept as blocks of some thousand documents: token numbers and the hashes of the block's distinct words. For
 each key (a word or a pair) that occurs in a block, the block sends its key and its training count to the bucket of the key's hash.
-A bucket adds up the counts and answers each block in the order in which it asked. So a frequent pair is one row of each block,
+A bucket adds up the counts and answers each block in the order in which it asked; the number of buckets follows the number of tokens, so
+that a bucket stays small. Words are told apart by 64 bits of hash and pairs by 48 bits and those of the bucket: two pairs of one
+bucket with equal hashes would share a count. So a frequent pair is one row of each block,
 nothing grows with the square of anything, and no task holds the model. Blocks and answers lie in tables bucketed by block, so they
 meet without a further shuffle. The weights are fitted on a histogram of the estimates, whose size is bounded.
 
@@ -34,6 +36,8 @@ END = b"\n"  # no word: the end of a text, and the context of its first word
 LEVELS = 40  # context-frequency buckets
 STEPS = 4  # histogram steps for each doubling
 PAIR_BYTES = 6  # of a pair's hash, besides the bits that chose its bucket
+#: Bytes of keys and counts in a bucket, at most, if no block repeats a key.
+BUCKET_BYTES = 8_000_000
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, ends binary, tokens binary, words binary"
 
 
@@ -196,11 +200,12 @@ def language_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from the rows that are not held out."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, int(np.ceil(np.log2(parts))))
     name = f"docquarry_lm_{uuid.uuid4().hex}"
     bucketed = lambda df, what: df.write.bucketBy(parts, "block").option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(f"{name}_{what}")
     bucketed(build_blocks(docs, held_out), "blocks")
     blocks = spark.table(f"{name}_blocks")
+    tokens = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 4
+    bits = max(2, int(np.ceil(np.log2(max(1, tokens * (PAIR_BYTES + 1) / BUCKET_BYTES)))))  # buckets grow in number, not in size
     bucketed(answer(ask(blocks, bits)).repartition(parts, "block"), "answers")
     answers = spark.table(f"{name}_answers")
     # a row for each bucket of words, whose number is fixed

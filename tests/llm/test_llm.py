@@ -444,6 +444,9 @@ def test_sharding(spark, wide, empty):
             assert len(own) > 1 and sum(len(x[1] or "") for x in own) > 2000
     path = sharding.write_shards(wide, 4000)
     back = spark.read.parquet(path).drop("__shard")
+    digest = lambda df: Counter((r["doc_id"], r["shard"], r["depth"], r["n_bytes"], r["shard_bytes"]) for r in df.collect())
+    assert digest(sharding.read_shards(spark, path)) == digest(sharding.extendible_shards(wide, 4000))
+    assert sharding.read_shards(spark, sharding.write_shards(empty, 100)).count() == 0
     assert Counter(map(tuple, back.select(*wide.columns).collect())) == Counter(map(tuple, wide.collect()))
     assert sharding.extendible_shards(empty, 100).count() == 0
 
@@ -463,6 +466,26 @@ def test_language_scores(spark, wide, empty):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    # the scores by dictionaries, the weights from leave-one-out counts of each training token
+    pairs, cells = Counter(), defaultdict(lambda: [0, 0.0, 0.0])
+    trained = [words(r[1]) for r in ROWS if not held(r[0])]
+    for own in trained:
+        pairs.update(zip([b"\n", *own], own, strict=False))
+    step = lambda p: round(lm.STEPS * math.log2(p)) + 1000 if p > 0 else 0
+    level = lambda c: min(int(math.log2(c)) + 1, lm.LEVELS - 1) if c > 0 else 0
+    for own in trained:
+        for h, w in zip([b"\n", *own], own, strict=False):
+            context = counts[h] - 1
+            p1, p2 = (counts[w] - 1) / (n - 1), (pairs[h, w] - 1) / max(context, 1)
+            cell = cells[level(context), step(p2), step(p1)]
+            cell[:] = cell[0] + 1, cell[1] + p2, cell[2] + p1
+    weights = lm.fit_weights(np.array([(k[0], c, p2 / c, p1 / c, 1 / (v + 1)) for k, (c, p2, p1) in sorted(cells.items())]))
+    score = defaultdict(set)
+    for r in ROWS:
+        own = words(r[1])
+        p = [weights[level(counts[h])] @ (pairs[h, w] / max(counts[h], 1), counts[w] / n, 1 / (v + 1)) for h, w in zip([b"\n", *own], own, strict=False)]
+        score[r[0]].add(sum(map(math.log10, p)))
+    assert all(min(abs(r["score"] - x) for x in score[r["doc_id"]]) < 1e-4 * max(1, abs(r["score"])) for r in got)
     assert lm.language_scores(empty, F.lit(False)).count() == 0
     nothing = lm.language_scores(wide.where("doc_id < 5"), F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in nothing)
