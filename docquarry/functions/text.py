@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -18,8 +19,17 @@ CODE = r"(?<![A-Za-z0-9])([A-Z]{1,5}R-[0-9]{1,4})(?![0-9])"
 
 def tokens(text: Column) -> Column:
     """Lower-cased words without punctuation at their ends; an empty text gives one placeholder, so that row counts stay."""
-    words = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\r\n]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
-    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("∅")))
+    return F.filter(F.transform(raw_words(text), stripped), lambda w: w != "")
+
+
+def raw_words(text: Column) -> Column:
+    """Lower-cased words as they stand; of a text with no word but punctuation, the placeholder."""
+    own = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(own.rlike("[^ \t\r\n" + re.escape(PUNCTUATION) + "]"), F.split(own, "[ \t\r\n]+")).otherwise(F.array(F.lit("∅")))
+
+
+def stripped(word: Column | str) -> Column:
+    return F.btrim(F.col(word) if isinstance(word, str) else word, F.lit(PUNCTUATION))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -20,13 +20,13 @@ def pack_rows(df: DataFrame, keys: Sequence[str], order: str, cost: str, target:
     """(keys, order, chunk): rows in order, a new chunk wherever the sum would pass target; a row over hard is a chunk of its own. A fold
     over the rows of one group, such as a table of one document."""
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("r"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("alone"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["used"] > 0) & ((acc["used"] + x["c"] > target) | (x["c"] > hard))
+        new = (acc["used"] > 0) & (acc["alone"] | (acc["used"] + x["c"] > target) | (x["c"] > hard))
         chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
         used = F.when(new, x["c"]).otherwise(acc["used"] + x["c"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.array_append(acc["out"], F.struct(x["o"].cast("long").alias("o"), chunk.alias("chunk"))).alias("out"))
+        return F.struct(chunk.alias("chunk"), used.alias("used"), (x["c"] > hard).alias("alone"), F.array_append(acc["out"], F.struct(x["o"].cast("long").alias("o"), chunk.alias("chunk"))).alias("out"))
 
     folded = rows.select(*keys, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
     return folded.select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))

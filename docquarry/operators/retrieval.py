@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.text import raw_words, stripped
 from docquarry.operators.ranking import top_of_group
+from docquarry.sources.intermediate import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25  # fixed values of the ranking formula
 
@@ -19,22 +21,33 @@ def postings(docs: DataFrame, doc: str, words: str) -> DataFrame:
     return docs.select(doc, F.explode(words).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, words: str, k: int, admitted: DataFrame | None = None) -> DataFrame:
-    """(query, doc, score, rank): the k best documents of each query. Term weights come from all documents; only admitted ones (doc) are
-    ranked. Repeated query words count again; weights below zero become a quarter of the mean weight; scores must be above zero."""
-    sizes = docs.select(doc, F.size(words).alias("dl"))
+def text_postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, term, tf) of the words that `tokens` gives, without an array of them."""
+    return docs.select(doc, F.explode(raw_words(F.col(text))).alias("word")).select(doc, stripped("word").alias("term")).where("term <> ''").groupBy(doc, "term").agg(F.count("*").alias("tf"))
+
+
+def weighed(counts: DataFrame, asked: DataFrame, doc: str, query: str) -> DataFrame:
+    """(query, doc, score above zero) by BM25 over postings: counts (doc, term, tf), a written table, as it is read several times, and asked
+    (query, term, tf). Repeated query words count again; weights below zero become a quarter of the mean weight."""
+    sizes = counts.groupBy(doc).agg(F.sum("tf").alias("dl"))
     n, mean = sizes.agg(F.count("*"), F.avg("dl")).first()
-    asked = queries.select(query, F.explode(words).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    counts = postings(docs, doc, words)
     weights = counts.groupBy("term").agg(F.log((n - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
     floor = weights.agg(F.avg("idf") * FLOOR).first()[0]
     weights = weights.withColumn("idf", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")))
+    asked = asked.withColumnRenamed("tf", "times")
     met = counts.join(asked.select("term").distinct(), "term", "left_semi")
-    if admitted is not None:
-        met = met.join(admitted.select(doc), doc, "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     scored = met.join(sizes, doc).join(weights, "term").join(asked, "term").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_of_group(scored.where("score > 0"), [query], [F.desc("score"), F.asc(doc)], k)
+    return scored.where("score > 0")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, words: str, k: int, admitted: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query, from arrays of words. Term weights come from all documents; only admitted
+    ones (doc) are ranked."""
+    scored = weighed(written(postings(docs, doc, words)), postings(queries, query, words), doc, query)
+    if admitted is not None:
+        scored = scored.join(admitted.select(doc), doc, "left_semi")
+    return top_of_group(scored, [query], [F.desc("score"), F.asc(doc)], k)
 
 
 def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, scope: str, k: int, tile: int = 512) -> DataFrame:
@@ -43,7 +56,7 @@ def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, sco
 
     def tiles(df: DataFrame, name: str) -> DataFrame:
         e = F.col(vector).cast("array<double>")
-        good = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull()).where(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
+        good = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull()).where(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
         sizes = good.groupBy(scope).agg(F.ceil(F.count("*") / tile).alias("__n"))
         dealt = good.join(sizes, scope).withColumn("__t", F.pmod(F.xxhash64(key), F.col("__n")))
         return dealt.groupBy(scope, "__t").agg(F.collect_list(F.struct(F.col(key).alias("key"), e.alias("e"))).alias(name)).select(scope, name)
@@ -90,3 +103,42 @@ def pack_evidence(ranked: DataFrame, query: str, item: str, rank: str, cost: str
     folded = ordered.withColumn("why", F.aggregate("r", state, step)["why"])
     rows = folded.select(query, F.explode(F.arrays_zip("r", "why")).alias("x"))
     return rows.select(query, F.col(f"x.r.{item}").alias(item), (F.col("x.why") == "packed").alias("packed"), F.col("x.why").alias("why"))
+
+
+def probed_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, scope: str, k: int, centres: DataFrame, probes: int) -> DataFrame:
+    """(query, key, score, rank): approximately the k nearest rows of the same scope. Every row lies in the cell of its nearest centre (centre,
+    v: a bounded sample of vectors); a query looks into the cells of its `probes` nearest centres, and scores there are exact."""
+    near = [r for r in centres.orderBy("centre").collect()]
+    ids, matrix = np.array([r["centre"] for r in near]), np.array([r["v"] for r in near], np.float64)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+
+    def cells(df: DataFrame, n: int, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                e = batch.column(2)
+                v = e.flatten().to_numpy().reshape(batch.num_rows, -1)
+                sim = np.round(v @ matrix.T / np.linalg.norm(v, axis=1, keepdims=True), 6)
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :n]  # centres are in order of their numbers
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * best.shape[1], pa.int32()), pa.array(ids[best].reshape(-1).astype(np.int64)))
+                yield pa.record_batch([*batch.columns, lists], [name, "scope", "e", "cells"])
+
+        good = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull()).where(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+        asked = good.select(F.col(key).cast("long").alias(name), F.col(scope).cast("string").alias("scope"), F.col(vector).cast("array<double>").alias("e"))
+        placed = asked.mapInArrow(run, f"{name} long, scope string, e array<double>, cells array<long>")
+        return placed.select(name, F.explode("cells").alias("cell"), F.concat_ws(":", "scope", "cell").alias("place"), F.col("e").alias(vector))
+
+    own, asked = cells(rows, 1, key), cells(queries, probes, key)
+    found = exact_cosine(own, asked, key, vector, "place", k)
+    return top_of_group(found.select("query", key, "score"), ["query"], [F.desc("score"), F.asc(key)], k)
+
+
+def rerank_below_head(ordered: DataFrame, scores: DataFrame, query: str, item: str, head: int, depth: int) -> DataFrame:
+    """(query, item, place): the first `head` items of an order (query, item, rank) stay, those below down to `depth` follow by falling score of
+    scores (query, item, score), and those beyond keep their places. A query with any item of the pool unscored keeps its whole order."""
+    pool = (F.col("rank") > head) & (F.col("rank") <= depth)
+    met = ordered.join(scores.select(query, item, F.col("score").alias("__s")), [query, item], "left")
+    failed = F.max(F.when(pool & F.col("__s").isNull(), 1).otherwise(0)).over(Window.partitionBy(query)) == 1
+    section = F.when(F.col("rank") <= head, 0).when(F.col("rank") <= depth, 1).otherwise(2)
+    by = F.when(pool & ~F.col("__f"), -F.col("__s")).otherwise(0.0)
+    order = Window.partitionBy(query).orderBy("__section", by, "rank")
+    return met.withColumns({"__f": failed, "__section": section}).withColumn("place", F.row_number().over(order)).select(query, item, "place")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.statistics import gain
-from docquarry.functions.text import PUNCTUATION, shingles, tokens
+from docquarry.functions.text import PUNCTUATION, tokens
 from docquarry.operators.ranking import fuse_ranks, keyword_first, top_of_group
-from docquarry.operators.retrieval import bm25, exact_cosine, pack_evidence
+from docquarry.operators.retrieval import exact_cosine, pack_evidence, text_postings, weighed
+from docquarry.sources.intermediate import written
 from docquarry.sources.tables import table
 
 from .registry import query
@@ -34,17 +35,31 @@ fu AS (SELECT item_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM li GROUP BY
 rf AS (SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS fused_rank FROM fu)"""
 
 
+def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, doc_id, score) of all documents that share a word with an item."""
+    counts = written(text_postings(table(spark, d, "documents"), "doc_id", "text"))
+    return weighed(counts, text_postings(table(spark, d, "benchmark"), "item_id", "text"), "doc_id", "item_id")
+
+
 def lexical(spark: SparkSession, d: str, admitted: DataFrame | None = None) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
-    asked = table(spark, d, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
-    return bm25(docs, asked, "doc_id", "item_id", "words", 20, admitted)
+    scored = lexical_scores(spark, d)
+    if admitted is not None:
+        scored = scored.join(admitted.select("doc_id"), "doc_id", "left_semi")
+    return top_of_group(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 20)
+
+
+def word_pairs(df: DataFrame, key: str) -> DataFrame:
+    """(key, g): the runs of two words of each text."""
+    words = df.select(key, tokens(F.col("text")).alias("w")).withColumn("next", F.slice("w", 2, 2**31 - 1))
+    pairs = words.select(key, F.explode(F.arrays_zip("w", "next")).alias("p")).where("p.next is not null")
+    return pairs.select(key, F.concat_ws(" ", "p.w", "p.next").alias("g"))
 
 
-def containing(spark: SparkSession, d: str, n: int = 2) -> DataFrame:
+def containing(spark: SparkSession, d: str) -> DataFrame:
     """Documents by the share of an item's distinct word pairs that they hold."""
-    asked = table(spark, d, "benchmark").select("item_id", F.array_distinct(shingles(tokens(F.col("text")), n)).alias("s"))
-    grams = asked.select("item_id", F.size("s").alias("size"), F.explode("s").alias("g"))
-    held = table(spark, d, "documents").select("doc_id", F.explode(shingles(tokens(F.col("text")), n)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi").distinct()
+    asked = word_pairs(table(spark, d, "benchmark"), "item_id").distinct()
+    grams = asked.join(asked.groupBy("item_id").agg(F.count("*").alias("size")), "item_id")
+    held = word_pairs(table(spark, d, "documents"), "doc_id").join(asked.select("g").distinct(), "g", "left_semi").distinct()
     score = F.round(F.count("*") / F.max("size"), 6)
     return top_of_group(held.join(grams, "g").groupBy("item_id", "doc_id").agg(score.alias("score")), ["item_id"], [F.desc("score"), F.asc("doc_id")], 20)
 

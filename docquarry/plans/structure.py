@@ -59,8 +59,8 @@ def text_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, l_quantity::BIGINT AS c FROM lineitem),
-    f AS (SELECT l_orderkey, k, 0 AS chunk, c AS used FROM l WHERE k = 1 UNION ALL SELECT f.l_orderkey, l.k, CASE WHEN f.used > 0 AND (f.used + l.c > 60 OR l.c > 48) THEN chunk + 1 ELSE chunk END,
-      CASE WHEN f.used > 0 AND (f.used + l.c > 60 OR l.c > 48) THEN l.c ELSE f.used + l.c END FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.k = f.k + 1)
+    f AS (SELECT l_orderkey, k, 0 AS chunk, c AS used, c > 48 AS alone FROM l WHERE k = 1 UNION ALL SELECT f.l_orderkey, l.k, CASE WHEN f.used > 0 AND (alone OR f.used + l.c > 60 OR l.c > 48) THEN chunk + 1 ELSE chunk END,
+      CASE WHEN f.used > 0 AND (alone OR f.used + l.c > 60 OR l.c > 48) THEN l.c ELSE f.used + l.c END, l.c > 48 FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.k = f.k + 1)
     SELECT l_orderkey, chunk, count(*) AS n FROM f GROUP BY ALL"""
 )
 def chunk_pack_rows(spark: SparkSession, d: str) -> DataFrame:

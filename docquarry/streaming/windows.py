@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.sources.intermediate import shared_root
+
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 4) -> DataFrame:
     """A stream of event files with ts as a timestamp."""
@@ -27,8 +28,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream until its input is used up. Each micro-batch is a folder of its own in the shared folder, replaced if it is run again;
     complete mode returns the last one, append and update mode all of them."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     done: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:

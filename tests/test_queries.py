@@ -159,6 +159,8 @@ def test_windows_and_row_packing(spark):
     assert got == [(1, "abcd"), (1, "defg"), (2, "a")]
     rows = spark.createDataFrame([("t", k, c) for k, c in enumerate([300, 300, 300, 900, 100])], "t string, o long, c long")
     assert [r["chunk"] for r in pack_rows(rows, ["t"], "o", "c", 700, 800).orderBy("o").collect()] == [0, 0, 1, 2, 3]
+    rows = spark.createDataFrame([("t", 0, 50), ("t", 1, 5)], "t string, o long, c long")
+    assert [r["chunk"] for r in pack_rows(rows, ["t"], "o", "c", 60, 48).orderBy("o").collect()] == [0, 1]  # a row over the limit is alone
 
 
 def test_proportional_sample(spark):
