@@ -30,3 +30,13 @@ def pack_rows(df: DataFrame, keys: Sequence[str], order: str, cost: str, target:
 
     folded = rows.select(*keys, F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
     return folded.select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk"))
+
+
+def table_rows(cells: DataFrame, key: str, row: str, col: str, span: str, text: str) -> DataFrame:
+    """(key, row, line): the cells of each row joined by bars. A cell stands in all rows that it spans, unless a later cell has the place; a cell that
+    repeats the one to its left is left out."""
+    wide = cells.select(key, F.explode(F.sequence(F.col(row), F.col(row) + F.col(span) - 1)).alias("__r"), F.col(row).alias("__from"), F.col(col).alias("__c"), F.col(text).alias("__t"))
+    placed = wide.groupBy(key, "__r", "__c").agg(F.max(F.struct("__from", "__t")).alias("__x"))
+    listed = placed.groupBy(key, F.col("__r").alias(row)).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", F.col("__x.__t").alias("t")))), lambda x: x["t"]).alias("__l"))
+    kept = F.filter("__l", lambda x, k: (k == 0) | (F.get("__l", k - 1) != x))
+    return listed.select(key, row, F.array_join(kept, " | ").alias("line"))

@@ -39,3 +39,20 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, gap: float) -> DataF
     w = Window.partitionBy(*keys).orderBy(order)
     new = (F.col(order) - F.lag(order).over(w) > gap).cast("int")
     return df.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("island", F.sum("__new").over(w)).drop("__new")
+
+
+def carried_over(own: DataFrame, before: DataFrame, keys: Sequence[str], item: str, number: str, last: int) -> DataFrame:
+    """own (keys, item, number) with carried false, and the items of before that own lacks under a key that own has, numbered from last on."""
+    new = before.join(own.select(*keys).distinct(), [*keys], "left_semi").join(own.select(*keys, item), [*keys, item], "left_anti")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(number)) + last
+    return own.withColumn("carried", F.lit(False)).unionByName(new.select(*keys, item, place.cast("long").alias(number), F.lit(True).alias("carried")))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, x_step: float, y_step: float) -> DataFrame:
+    """Rows of points joined to the rows of boxes (x0, x1, y0, y1, both ends inside) that hold them. Boxes are listed under each grid cell they touch, so
+    only points and boxes of one cell meet."""
+    cells = lambda a, b, step: F.explode(F.sequence(F.floor(F.col(a) / step).cast("long"), F.floor(F.col(b) / step).cast("long")))
+    laid = boxes.withColumn("__i", cells("x0", "x1", x_step)).withColumn("__j", cells("y0", "y1", y_step))
+    placed = points.withColumns({"__i": F.floor(F.col(x) / x_step).cast("long"), "__j": F.floor(F.col(y) / y_step).cast("long")})
+    inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
+    return placed.join(laid, ["__i", "__j"]).where(inside).drop("__i", "__j")

@@ -226,3 +226,54 @@ def test_unknown_filters_are_refused(spark):
 
     with pytest.raises(ValueError):
         query_metadata(spark.range(1), FIELDS, [Filter("amount", "like", ("x",))])
+
+
+def test_route_cover_like_a_loop(spark):
+    from docquarry.operators.routing import route_by_names
+
+    names = {1: ["alpha", "beta", "city"], 2: ["alpha", "city"], 3: ["gamma", "delta"], 4: ["city", "works"], 5: ["omega"], 6: ["alpha", "beta", "city"]}
+    names |= {k: ["city", "works"] for k in range(7, 12)}
+    asked = {1: ["alpha", "beta", "city", "gamma", "delta"], 2: ["city", "works"], 3: ["omega", "x"], 4: ["gamma", "delta", "x"]}
+    want = set()
+    for q, words in asked.items():
+        own = {d: set(t) & set(words) for d, t in names.items() if set(t) & set(words)}
+        df = {t: sum(t in o for o in own.values()) for t in words}
+        idf = {t: math.log(len(names) / n) for t, n in df.items() if n}
+        weight = {d: round(sum(idf[t] for t in o), 6) for d, o in own.items() if len(o) >= 2 and min(df[t] for t in o) < 4}
+        taken, explained = [], set()
+        for d in sorted(weight, key=lambda d: (-weight[d], d)):
+            if sum(idf[t] for t in own[d] - explained) >= max(weight.values()) / 2 or any(own[d] == own[k] for k in taken):
+                taken.append(d)
+                explained |= own[d]
+        want |= {(q, d) for d in taken} if len(taken) <= 4 else set()
+    a = spark.createDataFrame([(q, t) for q, words in asked.items() for t in words], "q long, term string")
+    n = spark.createDataFrame([*names.items()], "d long, terms array<string>")
+    assert {(r["q"], r["d"]) for r in route_by_names(a, n, "q", "d").collect()} == want and want
+
+
+def test_rerank_keeps_head_and_failed_orders(spark):
+    from docquarry.operators.retrieval import rerank_below_head
+
+    order = spark.createDataFrame([(q, f"d{k}", k) for q in (1, 2) for k in range(1, 7)], "q long, d string, rank int")
+    scores = spark.createDataFrame([(1, "d3", 0.1), (1, "d4", 0.9), (1, "d5", 0.5), (2, "d3", 0.1), (2, "d5", 0.5)], "q long, d string, score double")
+    got = {(r["q"], r["place"]): r["d"] for r in rerank_below_head(order, scores, "q", "d", 2, 5).collect()}
+    assert [got[1, k] for k in range(1, 7)] == ["d1", "d2", "d4", "d5", "d3", "d6"]
+    assert [got[2, k] for k in range(1, 7)] == [f"d{k}" for k in range(1, 7)]  # one of the pool has no score
+
+
+def test_decisions_plans_and_releases(spark):
+    from docquarry.operators.gold import first_decision, release_decision, resume_plan, revision_errors
+    from docquarry.operators.intervals import points_in_boxes
+
+    rows = spark.createDataFrame([("a", 2, "x", "no"), ("a", 1, "y", "yes"), ("a", 3, "y", "no"), ("b", 1, "x", "yes")], "k string, at int, who string, what string")
+    got = {r["k"]: tuple(r)[1:] for r in first_decision(rows, ["k"], ["at"], "who", "what").collect()}
+    assert got == {"a": ("y", "yes", "x", False), "b": ("x", "yes", None, None)}
+    tries = spark.createDataFrame([("a", "ok"), ("a", "bad"), ("b", "unsure"), ("b", "bad"), ("c", "bad")], "k string, s string")
+    assert {r["k"]: r["action"] for r in resume_plan(tries, ["k"], "s", ["ok"], ["unsure"]).collect()} == {"a": "done", "b": "held", "c": "retry"}
+    checks = spark.createDataFrame([("a", "hard", True), ("a", "quality", True), ("b", "hard", False), ("c", "hard", None), ("d", "hard", True), ("d", "quality", False)], "k string, kind string, ok boolean")
+    assert {r["k"]: r["decision"] for r in release_decision(checks, ["k"], "kind", "ok").collect()} == {"a": "ready", "b": "blocked", "c": "limited", "d": "limited"}
+    revisions = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 4, "y"), ("b", 1, "x"), ("b", 1, "y")], "k string, n int, c string")
+    assert sorted((r["k"], r["n"], *r["errors"]) for r in revision_errors(revisions, ["k"], "n", "c").collect()) == [("a", 2, "unchanged"), ("a", 4, "gap"), ("b", 1, "repeated")]
+    points = spark.createDataFrame([(0.0, 0.0), (3.0, 4.0), (9.5, 9.5)], "x double, y double")
+    boxes = spark.createDataFrame([("a", 0.0, 5.0, 0.0, 4.0), ("b", 3.0, 9.5, 4.0, 9.5)], "b string, x0 double, x1 double, y0 double, y1 double")
+    assert sorted((r["b"], r["x"]) for r in points_in_boxes(points, boxes, "x", "y", 2, 3).collect()) == [("a", 0.0), ("a", 3.0), ("b", 3.0), ("b", 9.5)]
