@@ -53,10 +53,10 @@ def split_round(rows: DataFrame, hashed: str, least: int, most: int, limit: int)
 
 
 def placed_rows(docs: DataFrame, limit: int, key: str, text: str, columns: tuple[str, ...]) -> DataFrame:
-    """(row: the asked columns of docs, shard, depth, n_bytes, shard_bytes)."""
+    """(row: the asked columns of docs, shard, depth, n_bytes, shard_bytes). docs, a table that reads the same each time, is read for the plan and for
+    the rows; only rows of cells that are too large are written in between."""
     row_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*columns).alias("row"), hash_of(F.col(key)).alias("__hash"), F.xxhash64(F.monotonically_increasing_id()).alias("__again"), row_bytes.alias("__bytes"))
-    rows = written(rows.withColumn("__again", F.shiftrightunsigned("__again", 64 - BITS)))
+    rows = docs.select(F.struct(*columns).alias("row"), hash_of(F.col(key)).alias("__hash"), row_bytes.alias("__bytes"))
     total = rows.agg(F.sum("__bytes")).first()[0] or 0
     parts: list[DataFrame] = []
     for hashed in ("__hash", "__again"):
@@ -74,7 +74,10 @@ def placed_rows(docs: DataFrame, limit: int, key: str, text: str, columns: tuple
             parts.append(placed.select("row", F.concat(group, bits).alias("shard"), depth.cast("int").alias("depth"), F.col("__bytes").alias("n_bytes"), "shard_bytes"))
             if rest.isEmpty():
                 return reduce(DataFrame.unionAll, parts)
-            rows = written(rows.withColumn("cell", prefix(hashed, most)).join(rest, "cell", "left_semi").drop("cell"))
+            rows = rows.withColumn("cell", prefix(hashed, most)).join(rest, "cell", "left_semi").drop("cell")
+            if "__again" not in rows.columns:  # a row number, and its own bits
+                rows = rows.withColumn("__again", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS))
+            rows = written(rows)
             if most == BITS:
                 break
             least, most = most + 1, min(BITS, most + 2 * SLACK)
