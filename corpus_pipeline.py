@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, in four stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that the next one reads as its docs. All but the last return the columns of
-documents.
+documents (and any more that docs have).
+
+Defined cases. quality: a null or empty text has the score of no features and stays or goes by it; a null doc_id is scored like any row; without
+labels all stay. near_duplicates: of a group the row with the smallest doc_id stays; rows of one doc_id with unlike texts are different
+documents and each stays, unless a near copy has a smaller id; repeated rows become one; texts without a word are one group; a row
+without doc_id stays if no row of its group has one. mixing: every row is taken once at least; null sources are a source. packing: a
+null text is its end id alone. An empty table gives no rows at any stage; extra columns keep their values whatever their names, but
+for mix_block and mix_key.
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: four fifths or more of their five-word shingles in common."""
+    """Keeps one document of each group of near copies: SimHash finds the candidates, and those with four fifths or more of their five-word
+    shingles in common are linked."""
     return without_near_copies(docs)
 
 
