@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .encode import in_slices
-from .shared import crc_of_id, trimming
+from .shared import crc_of_id, give_back, trimming
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 600_000  # characters whose words are weighed at once
@@ -126,11 +126,12 @@ def train(texts: list[str | None], classes: list[int], settings: Settings = Sett
             count = np.bincount(which, np.repeat(times, size), len(ids))
             if n := int(same[x:y].sum()):
                 ids, count = np.append(ids, REPEATED), np.append(count, n)
-            bags.append((ids.astype(np.int32), (count / max(count.sum(), 1)).astype(np.float32)))
+            bags.append((ids.astype(np.int32), count.astype(np.min_scalar_type(int(count.max(initial=0))))))  # as small as can be
     steps, done = max(1, settings.epochs * len(bags)), 0
     for _ in range(settings.epochs):
         for k in rng.permutation(len(bags)):
-            ids, share = bags[k]
+            ids, count = bags[k]
+            share = (count / max(count.sum(dtype=np.int64), 1)).astype(np.float32)
             mean = share @ vectors[ids]
             odds = mean @ out + bias
             odds = np.exp(odds - odds.max())
@@ -150,9 +151,13 @@ def train_on(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").collect()
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = named.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # of texts with one id the least
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["quality"] == 1) for r in rows], settings)
+    model = train([r["text"] for r in rows], [int(r["quality"] == 1) for r in rows], settings)
+    del rows
+    give_back()  # the driver is needed for longer than the sample
+    return model
 
 
 def held_out(doc_id: F.Column) -> F.Column:
