@@ -23,7 +23,7 @@ WIDE_SPACE = "[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 #: Kinds of bytes; the last three are white space.
 OTHER, LETTER, MARK, DIGIT, SPACE, LINE, BLANK = range(7)
 #: Distinct runs and pieces that a Python worker keeps; those beyond are encoded again for each slice of texts.
-KEPT = 300_000
+KEPT = 200_000
 
 
 def kinds_of_bytes() -> np.ndarray:
@@ -155,7 +155,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_slices(texts: list[str | None], most_chars: int = 4_000_000):
+def in_slices(texts: list[str | None], most_chars: int = 2_500_000):
     """(start, end) of runs of texts that together stay near most_chars, so that memory does not follow the batch size."""
     start = n = 0
     for k, t in enumerate(texts):
