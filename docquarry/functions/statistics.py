@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,20 @@ def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + F.lit(1.0))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at index int(q (n - 1) + 0.5) of the sorted array."""
-    return F.element_at(F.sort_array(values), (F.floor(q * (F.size(values) - 1) + 0.5) + 1).cast("int"))
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, nearest: Mapping[str, float] | None = None, between: Mapping[str, float] | None = None) -> DataFrame:
+    """(keys, one column for each name): values at index int(q (n - 1) + 0.5) of a group's sorted values (nearest), and interpolated ones at
+    q (n - 1) (between). From a histogram of distinct values with a running sum, so that no group meets in a list; nulls are left out."""
+    by = Window.partitionBy(*keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    laid = counted.withColumn("__upto", F.sum("__c").over(by.orderBy("__v"))).withColumn("__n", F.sum("__c").over(by))
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("__upto") > index, F.col("__v")))
+
+    def interpolated(q: float) -> Column:
+        place = q * (F.col("__n") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    exact = [at(F.floor(q * (F.col("__n") - 1) + 0.5)).alias(name) for name, q in (nearest or {}).items()]
+    return laid.groupBy(*keys).agg(*exact, *[interpolated(q).alias(name) for name, q in (between or {}).items()])

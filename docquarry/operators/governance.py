@@ -32,10 +32,18 @@ def seeded(seed: int, key: str) -> Column:
 
 
 def stratified_half(df: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
-    """drawn: true for half of each stratum (rounded up), in seeded order."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(seeded(seed, key), key))
-    size = F.count("*").over(Window.partitionBy(*strata))
-    return df.withColumn("drawn", place <= F.ceil(size / 2))
+    """drawn: true for half of each stratum (rounded up), in seeded order. Places are counted within blocks of three digits of the order, and
+    the counts of the blocks before are added, so that a large stratum is not ranked in one task."""
+    blocked = df.withColumn("__h", seeded(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
+    within = Window.partitionBy(*strata)
+    counts = blocked.groupBy(*strata, "__b").agg(F.count("*").alias("__c"))
+    laid = counts.withColumn("__before", F.sum("__c").over(within.orderBy("__b")) - F.col("__c")).withColumn("__n", F.sum("__c").over(within))
+    laid = laid.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__bb"), "__before", "__n")
+    same = F.col("__b") == F.col("__bb")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy("__h", key)) + F.col("__before")
+    return blocked.join(laid, same).withColumn("drawn", place <= F.ceil(F.col("__n") / 2)).select(*df.columns, "drawn")
 
 
 def proportional_sample(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:

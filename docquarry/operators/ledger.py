@@ -43,14 +43,23 @@ def once(events: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def replay(events: DataFrame, keys: Sequence[str], order: Sequence[str], event: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
-    """(keys, state, moved, refused): the events of a key in order, each moving the state if there is a move for it, else refused. A fold
-    over the events of one key, such as an attempt."""
+    """(keys, state, moved, refused): the events of a key in order, each moving the state if there is a move for it, else refused. Events are
+    dealt by ranges of (keys, order); a range's events of a key fold into a map from every state at its begin to (state, moved, refused)
+    at its end, and a key's maps are composed. So a key with many events is spread over ranges, and its last fold is over ranges only."""
     table = F.create_map(*[F.lit(x) for (state, name), to in moves.items() for x in (f"{state}|{name}", to)])
-    ordered = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, event))).alias("e"))
-    first = F.struct(F.lit(start).alias("state"), F.lit(0).alias("moved"), F.lit(0).alias("refused"))
+    states = F.array(*[F.lit(s) for s in sorted({start, *moves.values(), *(state for state, _ in moves)})])
+    at = lambda state: F.struct(state.alias("state"), F.lit(0).cast("long").alias("moved"), F.lit(0).cast("long").alias("refused"))
 
     def step(acc: Column, x: Column) -> Column:
         to = F.try_element_at(table, F.concat_ws("|", acc["state"], x[event]))
         return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moved"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("moved"), (acc["refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("refused"))
 
-    return ordered.select(*keys, F.aggregate("e", first, step).alias("s")).select(*keys, "s.*")
+    def compose(acc: Column, x: Column) -> Column:
+        after = F.element_at(x["ends"], acc["state"])
+        return F.struct(after["state"].alias("state"), (acc["moved"] + after["moved"]).alias("moved"), (acc["refused"] + after["refused"]).alias("refused"))
+
+    ranged = events.select(*keys, *order, event).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    blocks = ranged.groupBy(*keys, "__range").agg(F.array_sort(F.collect_list(F.struct(*order, event))).alias("e"))
+    folded = blocks.select(*keys, "__range", F.map_from_arrays(states, F.transform(states, lambda s: F.aggregate("e", at(s), step))).alias("ends"))
+    maps = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__range", "ends")), lambda a, b: a["__range"] - b["__range"]).alias("m"))
+    return maps.select(*keys, F.aggregate("m", at(F.lit(start)), compose).alias("s")).select(*keys, "s.*")

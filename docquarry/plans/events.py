@@ -71,10 +71,12 @@ def eval_mcnemar_holm(spark: SparkSession, d: str) -> DataFrame:
 def eval_family_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Whole sources drawn 200 times by hash; the interval of the mean of their rates."""
     f = judged(spark, d).groupBy("source").agg(F.avg(F.col("a").cast("int")).alias("m"))
-    families = f.agg(F.array_sort(F.collect_list(F.struct("source", "m"))).alias("f"))
-    drawn = families.select("f", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep")).select("f", "rep", F.explode(F.sequence(F.lit(0), F.size("f") - 1)).alias("slot"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.size("f")
-    means = drawn.withColumn("m", F.element_at("f", (pick + 1).cast("int"))["m"]).groupBy("rep").agg(F.avg("m").alias("m"))
+    numbered = f.select("m", (F.row_number().over(Window.orderBy("source")) - 1).cast("long").alias("k"))  # one row a source
+    n = numbered.count()
+    slot, rep = (F.col("id") % n).cast("string"), F.floor(F.col("id") / n)
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), rep.cast("string"), slot)), 1, 8), 16, 10).cast("long") % n
+    drawn = spark.range(200 * n).select(rep.alias("rep"), pick.alias("k"))
+    means = drawn.join(numbered, "k").groupBy("rep").agg(F.avg("m").alias("m"))
     return means.agg(F.sort_array(F.collect_list("m")).alias("v")).select(F.round(F.col("v")[5], 6).alias("low"), F.round(F.col("v")[194], 6).alias("high"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.statistics import nearest_rank
+from docquarry.functions.statistics import percentiles
 from docquarry.operators.governance import compare_rows, config_diff
 from docquarry.operators.intervals import islands, overlap_join, sweep, union_length
 from docquarry.operators.ranking import first_occurrence, top_of_group
@@ -32,9 +32,11 @@ def join_left_outer_stats(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), "most")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def join_anti(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order that is finished."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return table(spark, d, "customer").join(urgent, F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 48)")
@@ -54,10 +56,11 @@ def join_first_per_key(spark: SparkSession, d: str) -> DataFrame:
     return first_occurrence(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT r_name, string_agg(n_name, '; ' ORDER BY n_name) AS nations, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY p_name) AS parts, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
 def join_grouped_list(spark: SparkSession, d: str) -> DataFrame:
-    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
-    return joined.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("nations"), F.count("*").alias("n"))
+    """The parts of each order; an order has few lines."""
+    joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
+    return joined.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "; ").alias("parts"), F.count("*").alias("n"))
 
 
 @query(
@@ -198,12 +201,9 @@ def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
     list_sort(list(c_acctbal))[floor(0.9 * (count(*) - 1) + 0.5)::INT + 1] AS nearest90 FROM customer GROUP BY 1"""
 )
 def agg_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Interpolated and nearest-rank percentiles; the latter of a bounded group."""
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(
-        F.round(F.percentile("c_acctbal", F.lit(0.5)), 2).alias("median"),
-        F.round(F.percentile("c_acctbal", F.lit(0.95)), 2).alias("p95"),
-        nearest_rank(F.collect_list("c_acctbal"), 0.9).alias("nearest90"),
-    )
+    """Interpolated and nearest-rank percentiles."""
+    found = percentiles(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", {"nearest90": 0.9}, {"median": 0.5, "p95": 0.95})
+    return found.withColumn("median", F.round("median", 2)).withColumn("p95", F.round("p95", 2))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.statistics import nearest_rank
+from docquarry.functions.statistics import percentiles
 from docquarry.functions.text import numbers, sentences, tokens
 from docquarry.operators.chunking import pack_rows
 from docquarry.operators.ledger import replay
@@ -30,7 +30,7 @@ NEXT = "CASE state || '|' || event_type " + " ".join(f"WHEN '{a}|{b}' THEN '{c}'
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-    f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'idle' AS state, 0 AS moved, 0 AS refused FROM e UNION ALL SELECT user_id, k, coalesce(nxt, state), moved + (nxt IS NOT NULL)::INT, refused + (nxt IS NULL)::INT
+    f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'idle' AS state, 0::BIGINT AS moved, 0::BIGINT AS refused FROM e UNION ALL SELECT user_id, k, coalesce(nxt, state), moved + (nxt IS NOT NULL)::INT, refused + (nxt IS NULL)::INT
       FROM (SELECT e.user_id, e.k, f.state, f.moved, f.refused, {NEXT} AS nxt FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
     SELECT user_id, arg_max(state, k) AS state, max(moved) AS moved, max(refused) AS refused FROM f GROUP BY 1"""
 )
@@ -148,8 +148,7 @@ def text_character_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1) SELECT source, v[floor(0.25 * (n - 1) + 0.5)::INT + 1] AS q1, v[floor(0.75 * (n - 1) + 0.5)::INT + 1] AS q3 FROM v"""
+    """WITH v AS (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM documents WHERE n_chars IS NOT NULL GROUP BY 1) SELECT source, v[floor(0.25 * (n - 1) + 0.5)::INT + 1] AS q1, v[floor(0.75 * (n - 1) + 0.5)::INT + 1] AS q3 FROM v"""
 )
 def agg_nearest_rank_quartiles(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").where("lang = 'de'").groupBy("source").agg(F.collect_list("n_chars").alias("v"))
-    return g.select("source", nearest_rank(F.col("v"), 0.25).alias("q1"), nearest_rank(F.col("v"), 0.75).alias("q3"))
+    return percentiles(table(spark, d, "documents"), ["source"], "n_chars", {"q1": 0.25, "q3": 0.75})

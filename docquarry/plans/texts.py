@@ -14,6 +14,13 @@ from .registry import query
 from .retrieval import WORDS
 
 RUN5 = "w || ' ' || lead(w, 1) OVER v || ' ' || lead(w, 2) OVER v || ' ' || lead(w, 3) OVER v || ' ' || lead(w, 4) OVER v"
+
+
+def padded(pad: int) -> str:
+    """The key of the pseudonyms under a pad, as SQL writes bytes."""
+    return "".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0"))
+
+
 SPLIT = r"string_split_regex(coalesce(text, ''), '[ \t\r\n]+')"
 
 
@@ -139,14 +146,17 @@ def governance_proportional_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT sha256(concat_ws('|', coalesce('v' || n_name, 'n'), coalesce('v' || n_nationkey::VARCHAR, 'n'), coalesce('v' || n_regionkey::VARCHAR, 'n'))) AS h FROM nation)
+    """WITH h AS (SELECT sha256(concat_ws('|', coalesce('v' || doc_id::VARCHAR, 'n'), coalesce('v' || lang, 'n'), coalesce('v' || n_chars::VARCHAR, 'n'), coalesce('v' || source, 'n'), coalesce('v' || text, 'n'))) AS h FROM documents)
     SELECT count(*) AS n_rows, concat_ws('-', sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 12))::BIGINT)::VARCHAR) AS digest FROM h"""
 )
 def governance_table_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table_digest(table(spark, d, "nation"))
+    return table_digest(table(spark, d, "documents").select("doc_id", "lang", "n_chars", "source", "text"))
 
 
-@query(None)
+@query(
+    f"""WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), h AS (SELECT n, sha256('{padded(0x36)}'::BLOB || encode(user_id::VARCHAR)) AS h FROM e WHERE user_id IS NOT NULL)
+    SELECT substr(sha256('{padded(0x5C)}'::BLOB || unhex(h)), 1, 12) AS who, n FROM h UNION ALL SELECT NULL, n FROM e WHERE user_id IS NULL"""
+)
 def governance_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     """Events by pseudonym of their user."""
     e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from docquarry import plans
 from docquarry.functions.numbers import integral, korean_won, moment
-from docquarry.functions.statistics import holm, kappa, mcnemar, wilson
+from docquarry.functions.statistics import holm, kappa, mcnemar, percentiles, wilson
 from docquarry.functions.text import anchor, codes, grams, jaccard, nfc, shingles
 from docquarry.operators.chunking import pack_rows, token_windows
-from docquarry.operators.governance import proportional_sample, pseudonym, redact, table_digest
+from docquarry.operators.governance import proportional_sample, pseudonym, redact, seeded, stratified_half, table_digest
 from docquarry.operators.intervals import overlap_join, sweep, union_length
+from docquarry.operators.ledger import replay
 from docquarry.operators.ranking import fuse_ranks, top_with_ties
 from docquarry.operators.retrieval import bm25, exact_cosine
 from docquarry.sources import sinks, tables
@@ -277,3 +278,33 @@ def test_decisions_plans_and_releases(spark):
     points = spark.createDataFrame([(0.0, 0.0), (3.0, 4.0), (9.5, 9.5)], "x double, y double")
     boxes = spark.createDataFrame([("a", 0.0, 5.0, 0.0, 4.0), ("b", 3.0, 9.5, 4.0, 9.5)], "b string, x0 double, x1 double, y0 double, y1 double")
     assert sorted((r["b"], r["x"]) for r in points_in_boxes(points, boxes, "x", "y", 2, 3).collect()) == [("a", 0.0), ("a", 3.0), ("b", 3.0), ("b", 9.5)]
+
+
+def test_replay_composes_ranges_of_one_key(spark):
+    moves = {("a", "x"): "b", ("b", "y"): "c", ("c", "x"): "a"}
+    said = ["xyxzy"[(k * k) % 5] for k in range(400)]
+    df = spark.createDataFrame([("hot", k, e) for k, e in enumerate(said)] + [("one", 0, "y"), (None, 0, "x")], "u string, t long, e string")
+    state, moved = "a", 0
+    for e in said:
+        moved += (state, e) in moves
+        state = moves.get((state, e), state)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the small ranges apart
+    try:
+        got = {r["u"]: tuple(r)[1:] for r in replay(df, ["u"], ["t"], "e", moves, "a").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {"hot": (state, moved, 400 - moved), "one": ("a", 0, 1), None: ("b", 1, 0)}
+
+
+def test_percentiles_of_a_histogram(spark):
+    df = spark.createDataFrame([("a", v) for v in [5, 1, 1, 9]] + [("b", 7), ("c", None), (None, 2), (None, 4)], "k string, v long")
+    got = {r["k"]: (r["near"], r["mid"]) for r in percentiles(df, ["k"], "v", {"near": 0.5}, {"mid": 0.5}).collect()}
+    assert got == {"a": (5, 3.0), "b": (7, 7.0), None: (4, 3.0)}
+
+
+def test_half_of_each_stratum_with_nulls(spark):
+    df = spark.createDataFrame([("s" if k % 3 else None, k) for k in range(3000)], "s string, k long")
+    drawn = stratified_half(df, ["s"], "k", 7).where("drawn")
+    want = [[r["k"] for r in df.where(F.col("s").eqNullSafe(s)).orderBy(seeded(7, "k")).limit(n).collect()] for s, n in [(F.lit("s"), 1000), (F.lit(None), 500)]]
+    assert sorted(r["k"] for r in drawn.collect()) == sorted(sum(want, []))
