@@ -19,7 +19,7 @@ from .shared import documents, written
 from .simhash import simhash_groups
 from .winnow import edited_fingerprints
 
-ENTROPY_SHARE, MOST_REPEATS = 0.998, 4.0
+ENTROPY_SHARE, MOST_REPEATS = 0.9999, 4.0
 SHARD_BYTES = 1 << 20
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
