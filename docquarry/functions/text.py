@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,3 +99,18 @@ def anchor(text: pd.Series, quote: pd.Series) -> pd.Series:
         return [at[first], at[first + len(needle) - 1] + 1]
 
     return pd.Series([find(t, q) for t, q in zip(text, quote, strict=True)])
+
+
+#: What negates a qualifier shortly after it, and right before it.
+NEGATED_AFTER = ("않", "안됨", "아니", "제외", "불포함", "미포함", "별도", "없")
+NEGATED_BEFORE = ("미", "불", "비")
+
+
+def affirmed(text: Column, spelling: str, after: Sequence[str] = NEGATED_AFTER, before: Sequence[str] = NEGATED_BEFORE, window: int = 6) -> Column:
+    """Whether a spelling occurs at least once with no negation in the `window` characters after it, and no negating prefix before it.
+    An empty spelling is never affirmed; a null text gives null."""
+    if not spelling:
+        return F.when(text.isNotNull(), F.lit(False))
+    prefix = f"(?<!{'|'.join(map(re.escape, before))})" if before else ""
+    clear = "".join(f"(?!.{{0,{window - len(n)}}}{re.escape(n)})" for n in after if len(n) <= window)
+    return text.rlike(f"(?s){prefix}{re.escape(spelling)}{clear}")

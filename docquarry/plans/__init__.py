@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import events, extracts, lookups, metadata, numbers, relational, retrieval, reviews, routing, structure, texts
+from . import checks, events, extracts, lookups, metadata, numbers, relational, retrieval, reviews, routing, structure, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "events", "extracts", "lookups", "metadata", "numbers", "relational", "retrieval", "reviews", "routing", "structure", "texts"]
+__all__ = ["QUERIES", "SQL", "checks", "events", "extracts", "lookups", "metadata", "numbers", "relational", "retrieval", "reviews", "routing", "structure", "texts"]

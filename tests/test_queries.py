@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry import plans
 from docquarry.functions.numbers import integral, korean_won, moment
 from docquarry.functions.statistics import holm, kappa, mcnemar, percentiles, wilson
-from docquarry.functions.text import anchor, codes, grams, jaccard, nfc, shingles
+from docquarry.functions.text import affirmed, anchor, codes, grams, jaccard, nfc, shingles
 from docquarry.operators.chunking import pack_rows, token_windows
 from docquarry.operators.governance import proportional_sample, pseudonym, redact, seeded, stratified_half, table_digest
 from docquarry.operators.intervals import overlap_join, sweep, union_length
@@ -308,3 +308,10 @@ def test_half_of_each_stratum_with_nulls(spark):
     drawn = stratified_half(df, ["s"], "k", 7).where("drawn")
     want = [[r["k"] for r in df.where(F.col("s").eqNullSafe(s)).orderBy(seeded(7, "k")).limit(n).collect()] for s, n in [(F.lit("s"), 1000), (F.lit(None), 500)]]
     assert sorted(r["k"] for r in drawn.collect()) == sorted(sum(want, []))
+
+
+def test_affirmed_qualifiers(spark):
+    texts = {"부가세포함금액": True, "부가세를포함하지않은": False, "미포함": False, "포함안됨포함": True, "": False, "포함가나다라마별도": True, "포함가나다라별도": False}
+    df = spark.createDataFrame([*texts.items(), (None, None)], "t string, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", affirmed(F.col("t"), "포함").alias("got")).collect())
+    assert one(spark, affirmed(F.lit("x"), "").alias("x")).x is False
