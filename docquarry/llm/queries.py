@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, mixing, sharding
 from .lm import is_held_out, language_scores
+from .middle import fill_in_middle, restored
 from .mixing import mix
 from .neighbours import near_vectors
 from .packing import pack_documents
@@ -74,8 +75,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(documents(spark, sf_dir), is_held_out(F.col("doc_id")))
 
 
+def middle_digests(docs: DataFrame) -> DataFrame:
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    back = restored(F.col("form"), F.col("output"))
+    return fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores}
+    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores, "op11_fill_in_middle": op11_fill_in_middle}
 
 
 def oracle_sql() -> dict[str, str]:
