@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, mixing, sharding
+from .decontaminate import contamination
 from .lm import is_held_out, language_scores
 from .middle import fill_in_middle, restored
 from .mixing import mix
@@ -85,8 +86,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digests(documents(spark, sf_dir))
 
 
+def contamination_digests(marked: DataFrame) -> DataFrame:
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    ids = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
+    return marked.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores, "op11_fill_in_middle": op11_fill_in_middle}
+    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores, "op11_fill_in_middle": op11_fill_in_middle, "op13_decontamination": op13_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
