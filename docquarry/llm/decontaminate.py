@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import in_slices
@@ -37,6 +37,7 @@ SHARD_CHARS, GROUP_WORDS = 3_000_000, 500_000
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[^\\x00-/:-@\\[-`{-\\x7f]+")
 SPANS = "array<struct<word: long, words: long, start: long, end: long>>"
+SPANS_TYPE = pa.list_(pa.struct([(x, pa.int64()) for x in ("word", "words", "start", "end")]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -145,7 +146,7 @@ def marked(rows: DataFrame, phrases: Phrases) -> DataFrame:
                         w, n = int(first[i] - ends[k] + counts[k]), int(size[i])
                         spans[k].append({"word": w, "words": n, "start": at[w][0], "end": at[w + n - 1][1]})
                 yield pa.record_batch(
-                    [*part.columns, pa.array(counts), pa.array(spans, pa.list_(pa.struct([(x, pa.int64()) for x in ("word", "words", "start", "end")]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [*part.columns, pa.array(counts), pa.array(spans, SPANS_TYPE), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     [*part.schema.names, "n_words", "spans", "items"],
                 )
             give_back()
@@ -153,12 +154,22 @@ def marked(rows: DataFrame, phrases: Phrases) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + f", n_words long, spans {SPANS}, items array<string>")
 
 
-def merged(spans: str) -> Column:
-    """Spans of several passes, those that overlap or follow one another word by word joined."""
-    kind = "named_struct('word', {0}.word, 'words', {1}, 'start', {0}.start, 'end', {2})"
-    joined = kind.format("element_at(done, -1)", "greatest(element_at(done, -1).word + element_at(done, -1).words, x.word + x.words) - element_at(done, -1).word", "greatest(element_at(done, -1).end, x.end)")
-    step = f"CASE WHEN size(done) = 0 OR element_at(done, -1).word + element_at(done, -1).words < x.word THEN array_append(done, x) ELSE array_append(slice(done, 1, size(done) - 1), {joined}) END"
-    return F.expr(f"aggregate(array_sort({spans}), CAST(array() AS {SPANS}), (done, x) -> {step})")
+def joined(spans: list[dict]) -> list[dict]:
+    """Spans of several passes, those that overlap or follow one another word by word as one."""
+    out: list[dict] = []
+    for x in sorted(spans, key=lambda x: x["word"]):
+        if out and x["word"] <= (end := out[-1]["word"] + out[-1]["words"]):
+            out[-1] = out[-1] | {"words": max(end, x["word"] + x["words"]) - out[-1]["word"], "end": max(out[-1]["end"], x["end"])}
+        else:
+            out.append(x)
+    return out
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_words, spans, items) from the lists of several passes."""
+    for batch in batches:
+        row, n_words, spans, items = batch.columns
+        yield pa.record_batch([row, n_words, pa.array([joined(x) for x in spans.to_pylist()], SPANS_TYPE), pa.array([sorted(set(x)) for x in items.to_pylist()], pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -176,11 +187,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, group
     for k in range(groups):
         hits = written(marked(rows, in_group(k)).select("row", "n_words", "spans", "items").where(F.lit(k == 0) | (F.size("spans") > 0)))
         found = hits if found is None else found.unionByName(hits)
-    by_row = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.flatten(F.collect_list("items")).alias("ids"))
-    return rows.join(by_row, "row").select("doc_id", "text", "n_words", merged("all").alias("spans"), F.array_sort(F.array_distinct("ids")).alias("items"))
+    by_row = found.groupBy("row").agg(F.max("n_words"), F.flatten(F.collect_list("spans")), F.flatten(F.collect_list("items")))
+    by_row = by_row.mapInArrow(merged, f"row long, n_words long, spans {SPANS}, items array<string>")
+    return rows.join(by_row, "row").select("doc_id", "text", "n_words", "spans", "items")
 
 
 def without_spans(marked_rows: DataFrame) -> DataFrame:
     """(doc_id, text): the texts of `contamination` without their spans."""
-    bounds = F.expr("transform(array_append(spans, named_struct('word', 0L, 'words', 0L, 'start', CAST(length(text) AS BIGINT), 'end', 0L)), (x, i) -> substring(text, CAST(IF(i = 0, 0L, spans[i - 1].end) AS INT) + 1, CAST(x.start - IF(i = 0, 0L, spans[i - 1].end) AS INT)))")
-    return marked_rows.select("doc_id", F.when(F.size("spans") > 0, F.concat_ws("", bounds)).otherwise(F.col("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for k, spans in enumerate(batch.column(2).to_pylist()):
+                if spans:
+                    bounds = zip([0, *(x["end"] for x in spans)], [*(x["start"] for x in spans), None], strict=True)
+                    texts[k] = "".join(texts[k][a:b] for a, b in bounds)
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return marked_rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
