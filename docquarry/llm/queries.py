@@ -19,6 +19,7 @@ from .quality import quality_scores
 from .records import token_records
 from .shared import documents, written
 from .simhash import simhash_groups
+from .vectorcodes import vector_codes
 from .winnow import edited_fingerprints
 
 ENTROPY_SHARE, MOST_REPEATS = 0.9999, 4.0
@@ -86,6 +87,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle_digests(documents(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def contamination_digests(marked: DataFrame) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["words"])
     ids = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
@@ -97,7 +102,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores, "op11_fill_in_middle": op11_fill_in_middle, "op13_decontamination": op13_decontamination}
+    return {"op1_token_records": op1_token_records, "op2_best_fit_packing": op2_best_fit_packing, "op3_simhash": op3_simhash, "op4_temperature_mixing": op4_temperature_mixing, "op5_winnowing": op5_winnowing, "op6_quality_classifier": op6_quality_classifier, "op7_nn_descent": op7_nn_descent, "op8_reply_trees": op8_reply_trees, "op9_extendible_sharding": op9_extendible_sharding, "op10_lm_scores": op10_lm_scores, "op11_fill_in_middle": op11_fill_in_middle, "op12_vector_codes": op12_vector_codes, "op13_decontamination": op13_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
