@@ -15,7 +15,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 
-LEAF = 16
+LEAF = 32
 
 
 @dataclass(frozen=True)
