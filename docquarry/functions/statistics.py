@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,13 +27,31 @@ def kappa(both: Column, first: Column, second: Column, neither: Column) -> Colum
     return F.when((n > 0) & (chance < 1), (agree - chance) / (1 - chance))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln(n!) by Stirling's series from 10 on, after a product for smaller numbers."""
+    x = n.cast("double")
+    small = F.element_at(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(10)]), (F.least(n, F.lit(9)) + 1).cast("int"))
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n < 10, small).otherwise(x * F.ln(x) - x + F.ln(2 * math.pi * x) / 2 + series)
+
+
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p-value of b against c discordant pairs: a fold over the binomial tail."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.lit(0.0).alias("total"))
-    step = lambda acc, i: F.struct((acc["term"] * (n - i) / (i + 1)).alias("term"), (acc["total"] + acc["term"]).alias("total"))
-    tail = F.aggregate(F.sequence(F.lit(0), k), start, step)["total"]
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p-value of b against c discordant pairs. The binomial tail is added up from its largest term down, as shares of that
+    term, whose logarithm is taken once: numbers of any size neither underflow nor need more than some root of n terms."""
+    n, k = (b + c).cast("long"), F.least(b, c).cast("long")
+    steps = F.least(k, F.ceil(6 * F.sqrt(n)) + 60).cast("long")  # a term this far down is under e^-50 of the largest
+    start = F.struct(F.lit(1.0).alias("share"), F.lit(1.0).alias("total"))
+
+    def step(acc: Column, j: Column) -> Column:
+        share = acc["share"] * (k - j + 1) / (n - k + j)
+        return F.struct(share.alias("share"), (acc["total"] + share).alias("total"))
+
+    total = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), steps), lambda j: j > 0), start, step)["total"]
+    logarithm = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)
+    few = F.least(k, F.lit(500))  # numbers of up to 1,000 pairs fit as they are, without the rounding of a logarithm
+    ways = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), few), lambda j: j > 0), F.lit(1.0), lambda acc, j: acc * (n - k + j) / j)
+    largest = F.when(n <= 1000, ways * F.pow(F.lit(0.5), n.cast("double"))).otherwise(F.exp(logarithm))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total * largest))
 
 
 def holm(df: DataFrame, family: list[str], p: str, name: str) -> DataFrame:

@@ -51,9 +51,9 @@ def eval_kappa(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {JUDGED}, f AS (SELECT source, {FOUR} FROM j GROUP BY source), b AS (SELECT source, only_a + only_b AS n, least(only_a, only_b) AS k FROM f),
-    t AS (SELECT source, n, k, 0 AS i, 0.5::DOUBLE ** n AS term, 0.5::DOUBLE ** n AS total FROM b UNION ALL SELECT source, n, k, i + 1, term * (n - i) / (i + 1), total + term * (n - i) / (i + 1) FROM t WHERE i < k),
-    p AS (SELECT source, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * total) END AS p FROM t WHERE i = k),
+    f"""WITH {JUDGED}, f AS (SELECT source, {FOUR} FROM j GROUP BY source), b AS (SELECT source, only_a + only_b AS n, least(only_a, only_b) AS k FROM f),
+    t AS (SELECT source, n, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) AS term FROM (SELECT source, n, unnest(range(k + 1)) AS i FROM b)),
+    p AS (SELECT source, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(term)) END AS p FROM t GROUP BY source, n),
     s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, source) + 1) * p AS x FROM p)
     SELECT source, round(p, 9) AS p, round(least(1.0, max(x) OVER (ORDER BY p, source ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM s"""
 )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +17,63 @@ class ResidualIdentifier(ValueError):
     """A text still holds an identifier that it must not show."""
 
 
-ESCAPE = re.compile(r'\\(["\\/bfnrt]|u[0-9a-fA-F]{4})')
-MEANT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+def unescaped(text: str) -> str:
+    """Each escape of JSON's grammar read by the JSON parser, two halves of a character together; what is no escape stays as it is."""
+    first, *rest = text.split("\\")
+    out, k = [first], 0
+    while k < len(rest):
+        piece = rest[k]
+        k += 1
+        if not piece:  # an escaped backslash, and what follows it; a last one alone stays
+            out.append("\\" + (rest[k] if k < len(rest) else ""))
+            k += 1
+            continue
+        size = 5 if piece[0] == "u" else 1
+        shown = "\\" + piece[:size]
+        if len(piece) == size == 5 and k < len(rest) and rest[k][:2] in ("uD", "ud") and piece[1:3].lower() in ("d8", "d9", "da", "db"):
+            shown, piece, k = f"{shown}\\{rest[k][:5]}", piece + rest[k], k + 1
+            size = 10
+        try:
+            out += (json.loads(f'"{shown}"'), piece[size:])
+        except ValueError:
+            out.append("\\" + piece if size < 10 else f"\\{piece[:5]}\\{piece[5:]}")
+    return "".join(out)
+
+
+def strings_of(value: object) -> Iterator[str]:
+    """Names and texts of a JSON value."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            yield k
+            yield from strings_of(v)
+    elif isinstance(value, list):
+        for v in value:
+            yield from strings_of(v)
+
+
+def readings(line: str) -> str:
+    """A JSON line and all that its texts can be read as: JSON within texts, and texts whose escapes are read, each again and again."""
+    seen: dict[str, None] = {}
+    todo = [line]
+    while todo:
+        text = todo.pop()
+        if text in seen:
+            continue
+        seen[text] = None
+        try:
+            todo += strings_of(json.loads(text) if text.lstrip()[:1] in ("{", "[", '"') else None)
+        except (ValueError, RecursionError):
+            pass
+        if "\\" in text:
+            todo.append(unescaped(text))
+    return "\0".join(seen).encode("utf-8", "replace").decode()
 
 
 @F.pandas_udf(StringType())
-def decoded(line: pd.Series) -> pd.Series:
-    """A JSON line and what its escapes stand for, decoded until nothing changes, one after another."""
-
-    def stages(text: str) -> str:
-        out = [text]
-        while (text := ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else MEANT.get(m[1], m[1]), text)) != out[-1]:
-            out.append(text)
-        return "\0".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-
-    return line.map(stages)
+def all_readings(line: pd.Series) -> pd.Series:
+    return line.map(readings)
 
 
 def write_json_lines(df: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -44,7 +87,7 @@ def write_scrubbed(df: DataFrame, path: str, identifiers: DataFrame, text: str,
     own = identifiers.select(F.col(identifier).cast("string").alias("__id")).where(F.length("__id") > 0).distinct()
     keyed = own.withColumn("__k", F.substring("__id", 1, gram))
     lengths = sorted(r[0] for r in keyed.select(F.length("__k")).distinct().collect())  # gram values at most
-    lines = df.select(F.concat_ws("\0", decoded(F.to_json(F.struct(*df.columns))), F.col(text).cast("string")).alias("__line"))
+    lines = df.select(F.concat_ws("\0", all_readings(F.to_json(F.struct(*df.columns))), F.col(text).cast("string")).alias("__line"))
     for n in lengths:
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__line") - n + 1)), lambda i: F.substr(F.col("__line"), i, F.lit(n)))  # noqa: B023
         met = lines.select("__line", F.explode(F.array_distinct(grams)).alias("__k")).join(keyed.where(F.length("__k") == n), "__k")
