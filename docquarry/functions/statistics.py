@@ -22,9 +22,9 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
 def kappa(both: Column, first: Column, second: Column, neither: Column) -> Column:
     """Cohen's kappa of two yes/no raters from four counts; null if chance agreement is certain."""
     n = (both + first + second + neither).cast("double")
-    agree, p1, p2 = (both + neither) / n, (both + first) / n, (both + second) / n
+    agree, p1, p2 = (F.try_divide(x, n) for x in (both + neither, both + first, both + second))
     chance = p1 * p2 + (1 - p1) * (1 - p2)
-    return F.when((n > 0) & (chance < 1), (agree - chance) / (1 - chance))
+    return F.when((n > 0) & (chance < 1), F.try_divide(agree - chance, 1 - chance))
 
 
 def log_factorial(n: Column) -> Column:
@@ -84,3 +84,29 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, nearest: Mapping
 
     exact = [at(F.floor(q * (F.col("__n") - 1) + 0.5)).alias(name) for name, q in (nearest or {}).items()]
     return laid.groupBy(*keys).agg(*exact, *[interpolated(q).alias(name) for name, q in (between or {}).items()])
+
+
+def threshold_band(items: DataFrame, score: str, positive: str, floor: float, top: float = 1 + 1e-9) -> DataFrame:
+    """One row (lo, hi, kappa, coverage, false_accepts, n, points, meets_floor): the best of all bands lo <= hi of distinct scores, 0 and `top`. Scores from hi on are
+    accepted, those below lo rejected, those between and null ones abstain, and coverage is the share of all items that don't. Bands that
+    reach the floor come first, then those with more kappa, fewer false accepts, more coverage, and the narrower.
+
+    Scores are counted by value, and cuts carry running counts, so bands are pairs of cuts only; round scores to bound their number."""
+    s, yes = F.col(score), F.col(positive)
+    by_score = items.where(s.isNotNull()).groupBy(s.alias("cut")).agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"))
+    ends = items.sparkSession.createDataFrame([(0.0, 0, 0), (float(top), 0, 0)], "cut double, pos long, neg long")
+    cuts = by_score.unionByName(ends).groupBy("cut").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    listed = cuts.agg(F.array_sort(F.collect_list(F.struct("cut", "pos", "neg"))).alias("c"))
+    upto = lambda name: lambda c, i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    below = F.transform("c", lambda c, i: F.struct(c["cut"].alias("cut"), F.when(i > 0, upto("pos")(c, i)).otherwise(0).alias("pb"), F.when(i > 0, upto("neg")(c, i)).otherwise(0).alias("nb")))
+    total = lambda name: F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    n = items.agg(F.count("*").alias("n"))
+    laid = listed.select(below.alias("b"), total("pos").alias("pos"), total("neg").alias("neg")).join(F.broadcast(n), F.lit(True))  # one row each
+    lows = laid.select("b", "pos", "neg", "n", F.explode("b").alias("l"))
+    bands = lows.select("pos", "neg", "n", "l", F.explode(F.filter("b", lambda h: h["cut"] >= F.col("l.cut"))).alias("h"))
+    counted = bands.select(F.col("l.cut").alias("lo"), F.col("h.cut").alias("hi"), (F.col("pos") - F.col("h.pb")).alias("tp"), (F.col("neg") - F.col("h.nb")).alias("fa"), F.col("l.pb").alias("fr"), F.col("l.nb").alias("tn"), "n", (F.col("pos") + F.col("neg")).alias("points"))
+    judged = counted.withColumn("m", F.col("tp") + F.col("fa") + F.col("fr") + F.col("tn"))
+    scored = judged.withColumns({"kappa": kappa(F.col("tp"), F.col("fr"), F.col("fa"), F.col("tn")), "coverage": F.try_divide("m", "n")})
+    meets = F.coalesce(F.col("coverage") >= floor, F.lit(False))
+    order = [F.desc(meets), F.desc(F.round(F.coalesce("kappa", F.lit(-1.0)), 9)), F.asc("fa"), F.desc("m"), F.asc(F.round(F.col("hi") - F.col("lo"), 6)), F.asc("lo")]
+    return scored.orderBy(*order).limit(1).select("lo", "hi", F.round("kappa", 6).alias("kappa"), F.round("coverage", 6).alias("coverage"), F.col("fa").alias("false_accepts"), "n", "points", meets.alias("meets_floor"))

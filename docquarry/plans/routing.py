@@ -54,19 +54,19 @@ def search_balanced_sides(spark: SparkSession, d: str) -> DataFrame:
 CENTRES = "ce AS (SELECT vec_id AS centre, e AS v FROM ok WHERE label IS NOT NULL AND vec_id % 7 = 0 ORDER BY vec_id LIMIT 16)"
 CELLS = """ca AS (SELECT o.vec_id, o.label, o.e, centre, row_number() OVER (PARTITION BY o.vec_id ORDER BY round(list_cosine_similarity(o.e, v), 6) DESC, centre) AS k FROM ok o, ce),
 ap AS (SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query, r.vec_id AS vec_id, round(list_cosine_similarity(q.e, r.e), 6) AS score
-  FROM ca q JOIN ca r ON q.centre = r.centre AND q.label = r.label AND q.vec_id <> r.vec_id WHERE q.k <= 12 AND r.k = 1 AND q.vec_id % 20 = 0))"""
+  FROM ca q JOIN ca r ON q.centre = r.centre AND q.label = r.label AND q.vec_id <> r.vec_id WHERE q.k <= 15 AND r.k = 1 AND q.vec_id % 20 = 0))"""
 
 
 def approximate(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
     fit = e.where("label is not null and vec_id % 7 = 0 and embedding is not null").orderBy("vec_id").limit(16)  # a bounded sample
     centres = fit.select(F.col("vec_id").alias("centre"), F.col("embedding").cast("array<double>").alias("v"))
-    return probed_cosine(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", "label", k, centres, 12)
+    return probed_cosine(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", "label", k, centres, 15)
 
 
 @query(f"WITH {VECTORS}, {CENTRES}, {CELLS} SELECT * FROM ap WHERE rank <= 20")
 def search_approximate_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set against all vectors, in the cells of twelve of sixteen centres."""
+    """The stated query set against all vectors, in the cells of fifteen of sixteen centres."""
     return approximate(spark, d, 20)
 
 
