@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from . import analyzed, checks, events, extracts, linked, lookups, metadata, numbers, relational, retrieval, reviews, routing, structure, texts
+from . import analyzed, checks, events, extracts, linked, lookups, metadata, numbers, readings, relational, retrieval, reviews, routing, structure, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analyzed", "checks", "events", "extracts", "linked", "lookups", "metadata", "numbers", "relational", "retrieval", "reviews", "routing", "structure", "texts"]
+__all__ = ["QUERIES", "SQL", "analyzed", "checks", "events", "extracts", "linked", "lookups", "metadata", "numbers", "readings", "relational", "retrieval", "reviews", "routing", "structure", "texts"]
