@@ -14,6 +14,8 @@ from docquarry.operators.ranking import top_of_group
 from docquarry.sources.intermediate import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25  # fixed values of the ranking formula
+#: Tiles of rows with which a task compares a tile of queries, about.
+LANE = 4
 
 
 def postings(docs: DataFrame, doc: str, words: str) -> DataFrame:
@@ -52,14 +54,18 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, words: str,
 
 def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, scope: str, k: int, tile: int = 512) -> DataFrame:
     """(query, key, score, rank): the k rows nearest to each query in its scope, itself left out, in double precision. Rows and queries
-    of a scope are laid into tiles; each pair of tiles gives at most k rows a query."""
+    of a scope are laid into tiles, and the tiles of rows into lanes of LANE tiles; queries go to each lane of their scope, so a task compares them
+    with so many tiles at most, however large a scope is, and each pair of tiles gives at most k rows a query."""
+    e = F.col(vector).cast("array<double>")
+    good = F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = lambda df: df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull()).where(good)
+    counted = usable(rows).groupBy(scope).agg(F.ceil(F.count("*") / (tile * LANE)).alias("__lanes"))
 
     def tiles(df: DataFrame, name: str) -> DataFrame:
-        e = F.col(vector).cast("array<double>")
-        good = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull()).where(F.exists(vector, lambda x: x != 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-        sizes = good.groupBy(scope).agg(F.ceil(F.count("*") / tile).alias("__n"))
-        dealt = good.join(sizes, scope).withColumn("__t", F.pmod(F.xxhash64(key), F.col("__n")))
-        return dealt.groupBy(scope, "__t").agg(F.collect_list(F.struct(F.col(key).alias("key"), e.alias("e"))).alias(name)).select(scope, name)
+        sizes = usable(df).groupBy(scope).agg(F.ceil(F.count("*") / tile).alias("__n"))
+        dealt = usable(df).join(sizes, scope).withColumn("__t", F.pmod(F.xxhash64(key), F.col("__n")))
+        laid = dealt.groupBy(scope, "__t").agg(F.collect_list(F.struct(F.col(key).alias("key"), e.alias("e"))).alias(name))
+        return laid.join(counted, scope)
 
     def read(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, inner = column.offsets.to_numpy(), column.values
@@ -67,6 +73,7 @@ def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, sco
         ends, flat = e.offsets.to_numpy(), e.values.to_numpy()
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             v = flat[ends[a] : ends[b]].reshape(b - a, -1)
+            v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square is too large or too small
             yield keys[a:b], v / np.linalg.norm(v, axis=1, keepdims=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +85,9 @@ def exact_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, sco
                 flat = [pa.array(np.repeat(q, best.shape[1])), pa.array(r[best].reshape(-1)), pa.array(np.take_along_axis(score, best, axis=1).reshape(-1))]
                 yield pa.record_batch(flat, ["query", key, "score"])
 
-    pairs = tiles(queries, "a").join(tiles(rows, "b"), scope).select("a", "b")
+    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lanes") - 1)).alias("__lane")
+    own = tiles(rows, "b").withColumn("__lane", F.pmod(F.col("__t"), F.col("__lanes"))).select(scope, "__lane", "b")
+    pairs = tiles(queries, "a").select(scope, lanes, "a").join(own, [scope, "__lane"]).select("a", "b")
     found = pairs.mapInArrow(run, f"query long, {key} long, score double").where("score > -2")
     return top_of_group(found, ["query"], [F.desc("score"), F.asc(key)], k)
 

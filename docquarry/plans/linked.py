@@ -1,7 +1,9 @@
-"""Queries on links: near questions across splits, families, a fitted vector index, and a band of thresholds."""
+"""Queries on links and reuse: near questions across splits, families, a fitted vector index, a band of thresholds, and a store of results."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from docquarry.operators import vectorindex
 from docquarry.operators.families import families
 from docquarry.operators.governance import hash_parity_split
 from docquarry.operators.similarity import across_splits
+from docquarry.sources.cache import Store, recomputed
+from docquarry.sources.intermediate import shared_root
 from docquarry.sources.tables import table
 
 from .events import JUDGED, judged
@@ -89,3 +93,21 @@ def eval_threshold_band(spark: SparkSession, d: str) -> DataFrame:
     letters = F.length(F.regexp_replace("text", "[^A-Za-z ]", "")) / F.length("text")
     scores = table(spark, d, "documents").select("doc_id", F.when(F.length("text") > 0, F.round(letters, 2)).alias("s"))
     return threshold_band(judged(spark, d).join(scores, "doc_id", "left"), "s", "a", floor=0.7, top=1.01)
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, text, {PARITY.format("doc_id")} AS split FROM documents), f AS (SELECT DISTINCT coalesce(text, chr(0)) AS t FROM s WHERE split = 'dev')
+    SELECT doc_id, length(coalesce(text, '')) AS chars, len(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+')) AS pieces, coalesce(text, chr(0)) IN (SELECT t FROM f) AS reused FROM s"""
+)
+def governance_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of all documents after those of one split are in the store: texts that it has are not measured again."""
+    store = Store(f"{shared_root(spark)}/store-{uuid.uuid4().hex}")
+    docs = hash_parity_split(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+    def measures(inputs: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        return inputs.select("input_key", F.length(text).alias("chars"), F.size(F.split(text, "[ \t\r\n]+")).alias("pieces"))
+
+    recomputed(docs.where("split = 'dev'"), ["text"], measures, "measures-1", store)
+    every, _ = recomputed(docs, ["text"], measures, "measures-1", store)
+    return every.select("doc_id", "chars", "pieces", "reused")
