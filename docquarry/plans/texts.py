@@ -147,7 +147,8 @@ def governance_proportional_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH h AS (SELECT sha256(concat_ws('|', coalesce('v' || doc_id::VARCHAR, 'n'), coalesce('v' || lang, 'n'), coalesce('v' || n_chars::VARCHAR, 'n'), coalesce('v' || source, 'n'), coalesce('v' || text, 'n'))) AS h FROM documents)
-    SELECT count(*) AS n_rows, concat_ws('-', sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 12))::BIGINT)::VARCHAR) AS digest FROM h"""
+    SELECT count(*) AS n_rows, concat_ws('-', sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 25, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 37, 12))::BIGINT)::VARCHAR,
+      sum(('0x' || substr(h, 49, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 53, 12))::BIGINT)::VARCHAR) AS digest FROM h"""
 )
 def governance_table_digest(spark: SparkSession, d: str) -> DataFrame:
     return table_digest(table(spark, d, "documents").select("doc_id", "lang", "n_chars", "source", "text"))
