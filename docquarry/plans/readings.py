@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import squashed
 from docquarry.operators.alignment import aligned, fidelity, remade, with_edits
 from docquarry.operators.governance import redact
+from docquarry.operators.placement import placed, quote_places
 from docquarry.sources.tables import table
 
 from . import texts  # noqa: F401  its SQL is used below
@@ -50,3 +51,33 @@ def text_page_alignment(spark: SparkSession, d: str) -> DataFrame:
 def text_fidelity(spark: SparkSession, d: str) -> DataFrame:
     """What of each text its shown reading no longer has, and a verdict."""
     return fidelity(*readings(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
+HEADS = "[40, 20, 10]"
+
+
+@query(
+    f"""WITH r AS ({SHOWN}), l AS (SELECT doc_id, text, unnest(string_split(shown, chr(10))) AS f FROM r WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, list_filter({HEADS}, lambda n: length(f) >= n AND strpos(text, substr(f, 1, n)) > 0 AND strpos(substr(text, strpos(text, substr(f, 1, n)) + 1), substr(f, 1, n)) = 0)[1] AS size FROM l)
+    SELECT doc_id, count(*) AS fragments, count(*) FILTER (size = 40) AS by_40, count(*) FILTER (size = 20) AS by_20, count(*) FILTER (size = 10) AS by_10 FROM h GROUP BY 1"""
+)
+def text_anchored_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the shown reading that have a place in the text by an anchor of 40, 20 or 10 characters which it has once."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.split(redact(F.col("text")), "\n").alias("lines"))
+    by = lambda n: F.size(F.filter("placed", lambda x: x["size"] == n)).cast("long").alias(f"by_{n}")
+    return placed(docs, "text", "lines").select("doc_id", F.size("lines").cast("long").alias("fragments"), by(40), by(20), by(10))
+
+
+@query(
+    f"""WITH r AS ({SHOWN}), q AS (SELECT doc_id, text, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') AS hay, substr(regexp_replace(shown, '[ \\t\\r\\n]+', '', 'g'), doc_id % 7 * 40 + 1, 50) AS quote FROM r WHERE text IS NOT NULL),
+    f AS (SELECT *, CASE WHEN quote <> '' THEN strpos(hay, quote) ELSE 0 END AS p FROM q),
+    l AS (SELECT doc_id, row, sum(n) OVER (PARTITION BY doc_id ORDER BY row) AS upto FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[ \\t\\r\\n]+', '', 'g')))) AS n, unnest(range(len(string_split(text, chr(10))))) AS row FROM f)),
+    w AS (SELECT f.doc_id, min(row) FILTER (upto >= p) AS a, min(row) FILTER (upto >= p + length(quote) - 1) AS b FROM f JOIN l USING (doc_id) GROUP BY 1)
+    SELECT doc_id, CASE WHEN quote = '' THEN 'empty' WHEN p = 0 THEN 'missing' WHEN strpos(substr(hay, p + 1), quote) > 0 THEN 'repeated' WHEN a = b THEN 'row' ELSE 'across' END AS verdict,
+      CASE WHEN p > 0 THEN a END AS first_row, CASE WHEN p > 0 THEN b END AS last_row FROM f JOIN w USING (doc_id)"""
+)
+def text_quote_places(spark: SparkSession, d: str) -> DataFrame:
+    """A passage of each shown reading, looked for in the text: in a row, across rows, repeated, or missing."""
+    plain = table(spark, d, "documents").where("text is not null")
+    quotes = plain.select("doc_id", "text", F.substr(F.regexp_replace(redact(F.col("text")), "[ \t\r\n]+", ""), (F.col("doc_id") % 7 * 40 + 1).cast("int"), F.lit(50)).alias("quote"))
+    return quote_places(quotes, "text", "quote", PAGE).select("doc_id", "verdict", "first_row", "last_row")
