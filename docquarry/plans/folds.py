@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.taxonomy import current_types, heading_paths, since_when
 from docquarry.sources.tables import table
+from docquarry.streaming.settlements import reconciled
+from docquarry.streaming.windows import event_stream
 
 from .registry import query
 
@@ -70,3 +72,14 @@ def window_heading_stack(spark: SparkSession, d: str) -> DataFrame:
     by = found.select("doc_id", "at", F.size("path").alias("depth"), path.alias("path")).groupBy("doc_id")
     listed = F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"])))
     return by.agg(F.count("*").alias("n_lines"), F.max("depth").alias("deepest"), F.countDistinct("path").alias("paths"), listed.alias("paths_md5"))
+
+
+@query(
+    """SELECT event_type, floor(epoch(ts) / 604800)::BIGINT AS week, sum(round(value * 1000)::BIGINT)::BIGINT AS total, count(*) AS n, 1::BIGINT AS closings FROM events GROUP BY 1, 2"""
+)
+def ledger_late_settlements(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks of a stream of settlements by kind: what each closed with and its later corrections, together."""
+    stream = event_stream(spark, f"{d}/events.parquet", per_trigger=1).withColumn("micro", F.round(F.col("value") * 1000).cast("long"))
+    rows = reconciled(stream, "event_type", "ts", "micro", 604800, 86400)
+    by = rows.groupBy(F.col("scope").alias("event_type"), F.col("interval").alias("week"))
+    return by.agg(F.sum("amount").alias("total"), F.sum("n").alias("n"), F.count_if(F.col("kind") == "closed").alias("closings"))
