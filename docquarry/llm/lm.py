@@ -196,11 +196,34 @@ def fit_weights(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
+def totals_of(answers: DataFrame) -> tuple[int, int]:
+    """Training tokens, and distinct ones, over all buckets of words: buckets are added up where they lie, and the driver gets one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_all = n_distinct = 0
+        for batch in batches:
+            n_distinct += sum(batch.column(0).to_pylist())
+            n_all += sum(int.from_bytes(x, "little") for x in batch.column(1).to_pylist())
+        yield pa.record_batch([pa.array([n_all], pa.int64()), pa.array([n_distinct], pa.int64())], ["n_all", "n_distinct"])
+
+    added = answers.where("kind = 0").select(F.col("bucket").cast("long").alias("bucket"), "totals").mapInArrow(run, "n_all long, n_distinct long")
+    return tuple(added.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first())
+
+
 def language_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from the rows that are not held out."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"docquarry_lm_{uuid.uuid4().hex}"
+    try:
+        return scored(docs, held_out, name)
+    finally:  # the catalog keeps nothing of a run, failed ones too
+        for what in ("blocks", "answers"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
+
+
+def scored(docs: DataFrame, held_out: F.Column, name: str) -> DataFrame:
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucketed = lambda df, what: df.write.bucketBy(parts, "block").option("path", shared_folder(spark)).option("compression", "zstd").saveAsTable(f"{name}_{what}")
     bucketed(build_blocks(docs, held_out), "blocks")
     blocks = spark.table(f"{name}_blocks")
@@ -208,9 +231,7 @@ def language_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     bits = max(2, int(np.ceil(np.log2(max(1, tokens * (PAIR_BYTES + 1) / BUCKET_BYTES)))))  # buckets grow in number, not in size
     bucketed(answer(ask(blocks, bits)).repartition(parts, "block"), "answers")
     answers = spark.table(f"{name}_answers")
-    # a row for each bucket of words, whose number is fixed
-    ends = answers.where("kind = 0").select("bucket", "totals").collect()
-    n_all, n_distinct = sum(int.from_bytes(r["totals"], "little") for r in ends), sum(r["bucket"] for r in ends)
+    n_all, n_distinct = totals_of(answers)
     even = 1 / (n_distinct + 1)
     met = blocks.groupBy("block").cogroup(answers.where("kind > 0").groupBy("block"))
 
@@ -240,10 +261,7 @@ def language_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = written(met.applyInArrow(scores, schema))
-    spark.sql(f"DROP TABLE {name}_blocks")
-    spark.sql(f"DROP TABLE {name}_answers")
-    return out
+    return written(met.applyInArrow(scores, schema))
 
 
 def is_held_out(doc_id: F.Column, modulus: int = 7, remainder: int = 2) -> F.Column:
