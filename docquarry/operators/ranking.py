@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,3 +45,17 @@ def keyword_first(lists: DataFrame, query: str, item: str, channel: str, rank: s
     heads = lists.where((F.col(channel) == lexical) & (F.col(rank) <= head)).groupBy(query, item).agg(F.min(rank).alias("__head"))
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.asc_nulls_last("__head"), F.desc(F.round("score", 12)), item))
     return fused.join(heads, [query, item], "left").withColumn("place", place).where(F.col("place") <= depth).select(query, item, "place")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: str, name: str, width: int = 1 << 20) -> DataFrame:
+    """rows with their numbers (from 1) within the groups of keys, in the order of a column of whole numbers. Rows are counted by blocks of
+    `width` values, and numbered within a block; so a group of any size is spread over its blocks, and only counts of blocks meet in one task.
+    Null keys are a group; null values come first; rows with equal values are numbered in any order, and one block holds them all."""
+    blocks = rows.withColumn("block of rows", F.floor(F.col(order) / width))
+    by = [*keys, "block of rows"]
+    counts = blocks.groupBy(*by).agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*keys).orderBy("block of rows")) - F.col("held")
+    counts = counts.select(*[F.col(c).alias(f"{c} of counts") for c in by], before.alias("rows before"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c} of counts")) for c in by])
+    own = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return blocks.join(counts, same).withColumn(name, F.col("rows before") + own).select(*rows.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.claims import number_verdict
 from docquarry.functions.text import tokens
 from docquarry.operators.chunking import table_rows
+from docquarry.operators.ranking import numbered
 from docquarry.sources.tables import table
 
 from .registry import query
@@ -144,8 +145,10 @@ def eval_number_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims of a number (the first of the document before it in a source) against what a text states: correct, contested, wrong, incomplete, missing."""
     first = F.regexp_extract("text", "[0-9]+", 0)
     own = table(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", "source", "text", first.alias("own"))
-    before = own.select("doc_id", "source", F.lag("own").over(Window.partitionBy("source").orderBy("doc_id")).alias("wanted"))  # only numbers pass through the sort
-    met = own.join(before.drop("source"), "doc_id")
+    placed = numbered(own.select("doc_id", "source", F.col("own").alias("wanted")), ["source"], "doc_id", "k")  # without the texts
+    following = placed.select(F.col("source").alias("s"), (F.col("k") + 1).alias("next"), "wanted")
+    before = placed.drop("wanted").join(following, F.col("source").eqNullSafe(F.col("s")) & (F.col("k") == F.col("next")), "left")
+    met = own.join(before.select("doc_id", "wanted"), "doc_id")
     stated = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))
     qualified = F.rlike("text", F.concat("wanted", F.lit("[^0-9a-zA-Z]")))
     return met.select("doc_id", "wanted", number_verdict(F.col("wanted"), stated, qualified).alias("verdict"))

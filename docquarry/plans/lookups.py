@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
 from docquarry.operators.intervals import points_in_boxes
-from docquarry.operators.ranking import top_of_group
+from docquarry.operators.ranking import numbered, top_of_group
 from docquarry.sources.tables import table
 
 from .registry import query
@@ -178,9 +178,9 @@ def window_greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY first) AS place FROM g"""
 )
 def window_first_seen_order(spark: SparkSession, d: str) -> DataFrame:
-    """Groups in the order in which they were first seen."""
+    """Groups in the order in which they were first seen; a priority's groups are numbered by blocks."""
     by = table(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.min("o_orderkey").alias("first"), F.count("*").alias("n"), F.max("o_orderdate").alias("newest"))
-    return by.withColumn("place", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("first")))
+    return numbered(by, ["o_orderpriority"], "first", "place")
 
 
 @query(

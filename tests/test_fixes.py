@@ -5,9 +5,11 @@ from fractions import Fraction
 from math import comb
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.statistics import mcnemar
+from docquarry.operators.ranking import numbered
 from docquarry.sources import sinks
 
 
@@ -39,3 +41,14 @@ def test_names_behind_many_levels_are_found(name):
     for line in (json.dumps({"t": coded}), json.dumps({"t": "see " + coded.replace("\\", "\\\\") + "!"}), nested, by_name, in_log):
         assert name in sinks.readings(line)
     assert name not in sinks.readings(json.dumps({"t": "nothing", "n": [1, None, True, 2.5]}))
+
+
+def test_numbers_within_groups_by_blocks(spark):
+    rows = [("a", k * k % 1009 - 300, k) for k in range(500)] + [(None, 5, 1), (None, 2, 2), ("b", 2**40, 3), ("b", None, 4)]
+    t = spark.createDataFrame(rows, "g string, v long, k int").dropDuplicates(["g", "v"]).cache()
+    want = {(r["g"], r["v"]): r["n"] for r in t.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v"))).collect()}
+    for width in (1, 7, 1 << 20):
+        assert {(r["g"], r["v"]): r["n"] for r in numbered(t, ["g"], "v", "n", width).collect()} == want
+    assert numbered(t.where("false"), ["g"], "v", "n").count() == 0
+    equal = numbered(spark.createDataFrame([("a", 1), ("a", 1), ("a", 0)], "g string, v long"), ["g"], "v", "n")
+    assert sorted((r["v"], r["n"]) for r in equal.collect()) == [(0, 1), (1, 2), (1, 3)]
