@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
 from docquarry.operators.intervals import carried_over
-from docquarry.operators.ranking import top_of_group
 from docquarry.operators.retrieval import exact_cosine, probed_cosine, rerank_below_head
 from docquarry.operators.routing import restated_names, route_by_names
 from docquarry.sources.intermediate import written
 from docquarry.sources.tables import table
 
 from .registry import SQL, query
-from .retrieval import BM25, SHINGLES, VECTORS, WORDS, containing, eval_graded_ranking, lexical, lexical_scores
+from .retrieval import BM25, SHINGLES, VECTORS, WORDS, containing, eval_graded_ranking, lexical, lexical_by
 
 
 @query(
@@ -34,8 +33,7 @@ def search_rerank_protected(spark: SparkSession, d: str) -> DataFrame:
 )
 def search_best_of_source(spark: SparkSession, d: str) -> DataFrame:
     """The best document of each source for each item, with the beginning of its text."""
-    best = lexical_scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    best = top_of_group(best, ["item_id", "source"], [F.desc("score"), F.asc("doc_id")], 1).drop("rank")
+    best = lexical_by(spark, d, "source", 1).drop("rank")
     return best.join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 240).alias("snippet")), "doc_id")
 
 
@@ -45,8 +43,7 @@ def search_best_of_source(spark: SparkSession, d: str) -> DataFrame:
 )
 def search_balanced_sides(spark: SparkSession, d: str) -> DataFrame:
     """Three documents of each language for an item, each side ranked alone, numbered through."""
-    sided = lexical_scores(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("side")), "doc_id")
-    best = top_of_group(sided, ["item_id", "side"], [F.desc("score"), F.asc("doc_id")], 3)
+    best = lexical_by(spark, d, "lang", 3).withColumnRenamed("lang", "side")
     number = F.row_number().over(Window.partitionBy("item_id").orderBy("side", "rank"))
     return best.select("item_id", "side", "doc_id", "rank", number.alias("evidence"))
 
