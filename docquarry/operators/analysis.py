@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import Protocol
@@ -19,13 +19,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import CODE, raw_words, stripped
+from docquarry.functions.text import CODE, raw_words, stripped, tokens
 from docquarry.operators.governance import table_digest
+from docquarry.operators.matching import term_lists, words_by_text
 from docquarry.operators.retrieval import text_postings
+from docquarry.sources.intermediate import written
 from docquarry.sources.sinks import verified_version, write_version
 
 #: Cost of a piece that the dictionary doesn't have, and of each of its characters; those of entries are thousandths of ln(total / count).
 UNKNOWN, UNKNOWN_CHARACTER = 9_000, 3_000
+#: Words whose pieces a Python worker keeps.
+CUT = 200_000
 RUNS = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -36,6 +40,9 @@ class Analyzer(Protocol):
     def postings(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """(doc, term, tf); a text without a term has one placeholder."""
 
+    def lists(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
+        """(doc, size, terms, tfs, sides): the same postings, a row for each doc, made without a shuffle of words."""
+
 
 @dataclass(frozen=True)
 class WholeWords:
@@ -46,6 +53,9 @@ class WholeWords:
     def postings(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         return text_postings(docs, doc, text)
 
+    def lists(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
+        return term_lists(words_by_text(docs, doc, tokens(F.col(text))), doc)
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -135,6 +145,38 @@ class Pieces:
         none = docs.select(doc).distinct().join(known.select(doc), doc, "left_anti")
         return known.unionByName(none.select(doc, F.lit("∅").alias("term"), F.lit(1).cast("long").alias("tf")))
 
+    def lists(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
+        """A Python worker cuts a word once, as long as it keeps no more than CUT words. Codes go among the words behind a mark that no word has."""
+        sent = docs.sparkSession.sparkContext.broadcast(self)  # of the dictionary's size, a parameter
+        coded = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CODE), F.lit(1)), lambda c: F.concat(F.lit(" code:"), c))
+
+        def terms_of() -> Callable[[list[str]], list[list[str]]]:
+            own = sent.value
+            known: dict[str, list[str]] = vars(own.lattice).setdefault("cut", {})
+
+            def cut(words: list[str]) -> list[list[str]]:
+                out = []
+                for w in words:
+                    found = known.get(w)
+                    if found is None:
+                        found = [w[1:]] if w.startswith(" ") else own.terms(w)
+                        if len(known) < CUT:
+                            known[w] = found
+                    out.append(found)
+                return out
+
+            return cut
+
+        found = term_lists(words_by_text(docs, doc, F.concat(tokens(F.col(text)), coded)), doc, terms_of)
+        none = F.col("size") == 0
+        return found.select(
+            doc,
+            F.when(none, 1).otherwise(F.col("size")).alias("size"),
+            F.when(none, F.array(F.lit("∅"))).otherwise(F.col("terms")).alias("terms"),
+            F.when(none, F.array(F.lit(1))).otherwise(F.col("tfs")).alias("tfs"),
+            "sides",
+        )
+
 
 def entries_of(rows: Iterable[Sequence]) -> tuple[Entry, ...]:
     return tuple(sorted((Entry(r[0], r[1], int(r[2])) for r in rows), key=lambda e: (e.term, e.tag, e.cost)))
@@ -145,7 +187,7 @@ def dictionary(docs: DataFrame, text: str, size: int = 20_000, shortest: int = 2
     `function_words` most frequent ones have the tag function, others content."""
     words = docs.select(F.explode(raw_words(F.col(text))).alias("word")).select(stripped("word").alias("term"))
     short = words.where(F.length("term").between(shortest, longest) & F.col("term").rlike(r"^\p{L}+$"))
-    counts = short.groupBy("term").agg(F.count("*").alias("n"))
+    counts = written(short.groupBy("term").agg(F.count("*").alias("n")))
     total = F.lit(counts.agg(F.sum("n")).first()[0])
     first = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(size)
     names = first.orderBy(F.desc("n"), "term").limit(function_words).select("term", F.lit("function").alias("tag"))
@@ -154,14 +196,22 @@ def dictionary(docs: DataFrame, text: str, size: int = 20_000, shortest: int = 2
 
 def kept_postings(docs: DataFrame, doc: str, text: str, analyzer: Analyzer, root: str) -> tuple[DataFrame, bool]:
     """(postings, whether they were there): a verified version below root, named by the analyzer and the texts, written if it isn't there."""
-    own = docs.select(F.col(doc), F.col(text))
+    return kept(docs.select(F.col(doc), F.col(text)), f"{analyzer.version}|{doc}|{text}", lambda own: analyzer.postings(own, doc, text), root)
+
+
+def kept_lists(docs: DataFrame, doc: str, text: str, analyzer: Analyzer, root: str) -> tuple[DataFrame, bool]:
+    """kept_postings as lists, a row for each doc."""
+    return kept(docs.select(F.col(doc), F.col(text)), f"{analyzer.version}|lists|{doc}|{text}", lambda own: analyzer.lists(own, doc, text), root)
+
+
+def kept(own: DataFrame, name: str, make: Callable[[DataFrame], DataFrame], root: str) -> tuple[DataFrame, bool]:
     said = table_digest(own).first()
-    version = hashlib.sha256(f"{analyzer.version}|{doc}|{text}|{said['n_rows']}|{said['digest']}".encode()).hexdigest()[:24]
-    spark = docs.sparkSession
+    version = hashlib.sha256(f"{name}|{said['n_rows']}|{said['digest']}".encode()).hexdigest()[:24]
+    spark = own.sparkSession
     try:
         return verified_version(spark, root, version), True
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    write_version(analyzer.postings(own, doc, text), root, version)
+    write_version(make(own), root, version)
     return verified_version(spark, root, version), False

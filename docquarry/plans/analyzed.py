@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.analysis import Analyzer, Pieces, WholeWords, dictionary, entries_of, kept_postings
-from docquarry.operators.ranking import top_of_group
-from docquarry.operators.retrieval import weighed
+from docquarry.operators.analysis import Analyzer, Pieces, WholeWords, dictionary, entries_of, kept_lists
+from docquarry.operators.matching import bm25_of_lists
 from docquarry.sources.intermediate import shared_root
 from docquarry.sources.tables import table
 
@@ -20,9 +19,8 @@ def pieces(spark: SparkSession, d: str) -> Pieces:
 
 
 def ranked(spark: SparkSession, d: str, analyzer: Analyzer, k: int = 20) -> DataFrame:
-    counts, _ = kept_postings(table(spark, d, "documents"), "doc_id", "text", analyzer, f"{shared_root(spark)}/postings")
-    scored = weighed(counts, analyzer.postings(table(spark, d, "benchmark"), "item_id", "text"), "doc_id", "item_id")
-    return top_of_group(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
+    lists, _ = kept_lists(table(spark, d, "documents"), "doc_id", "text", analyzer, f"{shared_root(spark)}/postings")
+    return bm25_of_lists(lists, analyzer.postings(table(spark, d, "benchmark"), "item_id", "text"), "doc_id", "item_id", k).drop("side")
 
 
 @query(
