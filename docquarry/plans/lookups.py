@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
-from docquarry.operators.intervals import points_in_boxes
+from docquarry.operators.intervals import counts_in_boxes
 from docquarry.operators.ranking import numbered, top_of_group
 from docquarry.sources.tables import table
 
@@ -33,9 +33,8 @@ def join_type_lookup(spark: SparkSession, d: str) -> DataFrame:
 def join_point_in_box(spark: SparkSession, d: str) -> DataFrame:
     """Lines as points of quantity and price in a box of each part."""
     boxes = table(spark, d, "part").select("p_partkey", (F.col("p_size") - 1.0).alias("x0"), (F.col("p_size") + 1.0).alias("x1"), (F.col("p_retailprice") * 20).alias("y0"), (F.col("p_retailprice") * 20 + 400).alias("y1"))
-    met = points_in_boxes(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"), boxes, "l_quantity", "l_extendedprice", 4, 500)
-    found = met.groupBy("p_partkey").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
-    return boxes.select("p_partkey").join(found, "p_partkey", "left").na.fill(0)
+    found = counts_in_boxes(table(spark, d, "lineitem"), boxes, "l_orderkey", "l_quantity", "l_extendedprice", 4, 500, 400).withColumnRenamed("items", "orders")
+    return boxes.join(found, ["x0", "x1", "y0", "y1"], "left").select("p_partkey", "n", "orders").na.fill(0)
 
 
 @query(
