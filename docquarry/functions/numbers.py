@@ -29,20 +29,27 @@ def korean_won(text: Column) -> Column:
     """A written Korean amount in won: digits with units in falling order, a bare unit once. Spoken short forms: after 억, a rest below
     ten thousand without 원 counts ten thousands. Null for anything else, fractions of a won included."""
 
-    def read(squeezed: Column) -> Column:
-        s = F.regexp_replace(squeezed, "(원|KRW)$", "")
-        total, rest = F.lit(0).cast("decimal(38,4)"), s
+    def step(state: Column, unit: str, n: int) -> Column:
+        """The state with a unit's value added, and what follows the unit as its rest."""
+        value = let(F.substring_index(state["rest"], unit, 1), lambda head: F.when(head == "", F.lit(1)).otherwise(section_value(head)) * n)
+        more = F.struct((state["total"] + F.coalesce(value, F.lit(0))).cast("decimal(38,4)").alias("total"), F.substring_index(state["rest"], unit, -1).alias("rest"))
+        return F.when(state["rest"].contains(unit), more).otherwise(state)
+
+    def read(squeezed: Column, s: Column) -> Column:
+        state = F.struct(F.lit(0).cast("decimal(38,4)").alias("total"), s.alias("rest"))
         for unit, n in LARGE.items():
-            head = F.when(rest.contains(unit), F.substring_index(rest, unit, 1))
-            value = F.when(head == "", F.lit(1)).otherwise(section_value(head)) * n
-            total = total + F.coalesce(value, F.lit(0))
-            rest = F.when(rest.contains(unit), F.substring_index(rest, unit, -1)).otherwise(rest)
-        tail = section_value(rest)
-        spoken = s.contains("억") & ~s.contains("만") & (s == squeezed) & (tail > 0) & (tail < 10**4)
-        total = total + tail * F.when(spoken, 10**4).otherwise(1)
-        return F.when((s != "") & s.rlike(AMOUNT) & (total == F.floor(total)), total.cast("long"))
-
-    return let(F.regexp_replace(text, r"[\s,]", ""), read)
+            state = let(state, lambda x: step(x, unit, n))  # noqa: B023  called at once
+
+        def end(total: Column, tail: Column) -> Column:
+            spoken = s.contains("억") & ~s.contains("만") & (s == squeezed) & (tail > 0) & (tail < 10**4)
+            return let(total + tail * F.when(spoken, 10**4).otherwise(1), lambda won: F.when(won == F.floor(won), won.cast("long")))
+
+        return let(state, lambda x: let(section_value(x["rest"]), lambda tail: end(x["total"], tail)))
+
+    def checked(squeezed: Column) -> Column:
+        return let(F.regexp_replace(squeezed, "(원|KRW)$", ""), lambda s: F.when((s != "") & s.rlike(AMOUNT), read(squeezed, s)))
+
+    return let(F.regexp_replace(text, r"[\s,]", ""), checked)
 
 
 def integral(text: Column) -> Column:
