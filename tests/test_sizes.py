@@ -40,3 +40,22 @@ def test_amounts_are_read_once(spark):
     """Before, each unit's rest was written out in full in the next one's expression."""
     df = spark.range(1).select(korean_won(F.col("id").cast("string")).alias("x"))
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_sets_in_tiles_equal_all_pairs(spark):
+    """Before, sets met by each rare member that they share, and the pairs of sets drawn from few members followed the square of the table."""
+    from docquarry.operators.similarity import set_classes, similar_classes
+
+    rng = random.Random(9)
+    names = [f"m{k}" for k in range(70)]
+    sets = [sorted(rng.sample(names, rng.randint(1, 60))) for _ in range(150)]
+    for k in range(0, 150, 2):
+        sets[k] = sorted(set(sets[rng.randrange(150)]) ^ set(rng.sample(names, rng.randint(0, 4)))) or ["m0"]
+    classes = set_classes(spark.createDataFrame([(s,) for s in sets], "own array<string>"), "own").groupBy("class").agg(F.first("own").alias("own"))
+    name = {r["class"]: frozenset(r["own"]) for r in classes.collect()}
+    found = similar_classes(classes, "own", 0.85, tile=7)
+    got = [(name[r["a"]], name[r["b"]]) for r in found.collect()]
+    distinct = list(set(name.values()))
+    want = {frozenset((a, b)) for i, a in enumerate(distinct) for b in distinct[:i] if len(a & b) >= 0.85 * len(a | b)}
+    assert {frozenset(p) for p in got} == want and len(got) == len(want) and want
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
