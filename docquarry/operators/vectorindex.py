@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.matching import Best
 from docquarry.operators.ranking import top_of_group
 from docquarry.sources.intermediate import written
 
 #: Rows that the index is fitted on, and queries that settings are measured on, at most.
 SAMPLE, MEASURED = 4096, 100
 LANES = 8
+#: Rows that are compared with queries at once, and found rows that a task holds before it keeps the best of each query.
+ROWS, HELD = 512, 300_000
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -133,6 +136,16 @@ def exact_scores(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFra
     return met.select("query", "key", "query_e", "row_e").mapInArrow(run, "query long, key long, score double")
 
 
+def firsts(parts: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
+    """(query, key, near) of the n nearest of each query."""
+    query, key, near = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((key, -near, query))
+    start = np.flatnonzero(np.append(True, np.diff(query[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    kept = order[place < n]
+    return query[kept], key[kept], near[kept]
+
+
 def searched(index: DataFrame, rows: DataFrame, asked: DataFrame, fitted: Fitted, setting: Setting, k: int) -> DataFrame:
     """(query, key, score, rank): the k best of each query's short list, itself left out."""
     sent = rows.sparkSession.sparkContext.broadcast(fitted)
@@ -141,6 +154,7 @@ def searched(index: DataFrame, rows: DataFrame, asked: DataFrame, fitted: Fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for cell, queries, vectors, keys, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 v = np.frombuffer(vectors, np.float32).reshape(len(queries), -1)
@@ -150,8 +164,14 @@ def searched(index: DataFrame, rows: DataFrame, asked: DataFrame, fitted: Fitted
                 n = min(setting.shortlist, len(own))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 found = np.take_along_axis(score, best, axis=1).reshape(-1)
-                flat = pa.record_batch([pa.array(np.repeat(q, n)), pa.array(own[best].reshape(-1)), pa.array(found.astype(np.float64))], ["query", "key", "near"])
-                yield flat.filter(pa.array(np.isfinite(found)))
+                good = np.isfinite(found)
+                parts.append((np.repeat(q, n)[good], own[best].reshape(-1)[good], found[good].astype(np.float64)))
+                if sum(len(x[0]) for x in parts) >= HELD:
+                    parts = [firsts(parts, setting.shortlist)]
+                    if len(parts[0][0]) >= HELD // 2:
+                        yield pa.record_batch([pa.array(x) for x in parts.pop()], ["query", "key", "near"])
+        if parts:
+            yield pa.record_batch([pa.array(x) for x in firsts(parts, setting.shortlist)], ["query", "key", "near"])
 
     found = blocks.join(index, ["cell", "lane"]).select("cell", "queries", "vectors", "keys", "packed").mapInArrow(run, "query long, key long, near double")
     short = top_of_group(found, ["query"], [F.desc("near"), F.asc("key")], setting.shortlist)
@@ -165,14 +185,17 @@ def nearest(rows: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, v = sent.value
+        best = Best(k, ids)
         for batch in batches:
-            keys, score = batch.column(0).to_numpy(), (v @ matrix(batch.column(1)).T).round(6)
-            score[ids[:, None] == keys] = -2
-            best = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-            flat = [np.repeat(ids, best.shape[1]), keys[best].reshape(-1), np.take_along_axis(score, best, axis=1).reshape(-1)]
-            yield pa.record_batch([pa.array(x) for x in flat], ["query", "key", "score"])
-
-    found = rows.mapInArrow(run, "query long, key long, score double").where("score > -2")
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                keys, score = part.column(0).to_numpy(), (matrix(part.column(1)) @ v.T).round(6) + 2  # above zero, as Best takes them
+                score[keys[:, None] == ids] = 0
+                best.add(score, keys, [None] * len(keys))
+        for taken in best.taken():
+            yield pa.record_batch([taken.column(0), taken.column(2), pa.array((taken.column(3).to_numpy() - 2).round(6))], ["query", "key", "score"])
+
+    found = rows.mapInArrow(run, "query long, key long, score double")
     return top_of_group(found, ["query"], [F.desc("score"), F.asc("key")], k)
 
 
@@ -219,9 +242,9 @@ def search(chosen: Chosen, asked: DataFrame, key: str, vector: str, k: int, bloc
     queries = written(usable(asked, key, vector))
     if chosen.setting:
         return searched(chosen.index, chosen.rows, queries, chosen.fitted, chosen.setting, k)
-    out = None
-    for part in range(-(-queries.count() // block) or 1):  # exact: blocks of queries of a bounded size
-        mine = [tuple(r) for r in queries.where(F.pmod(F.xxhash64("key"), F.lit(-(-queries.count() // block) or 1)) == part).collect()]
+    out, parts = None, -(-queries.count() // block) or 1
+    for part in range(parts):  # exact: blocks of queries of a bounded size
+        mine = [tuple(r) for r in queries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).collect()]
         found = nearest(chosen.rows, mine, k) if mine else chosen.rows.limit(0).selectExpr("key AS query", "key", "0D AS score", "1 AS rank")
         out = found if out is None else out.unionByName(found)
     return out
