@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.edits import applied, code_points, edit_script, undone
+from docquarry.sources.intermediate import written
 
 #: Characters of a gram, the share of the most hits that a page needs, and the share of missing characters that is faithful.
 GRAM, NEAR, FAITHFUL = 6, 0.8, 0.001
@@ -61,20 +62,56 @@ def lists_of(units: DataFrame, pages: DataFrame) -> DataFrame:
     return own.join(read, "doc", "left").select("doc", "units", "read")
 
 
+def gram_numbers(points: np.ndarray) -> np.ndarray:
+    """A number for the run of GRAM code points from each place; equal runs have equal numbers."""
+    if len(points) < GRAM:
+        return np.zeros(0, np.int64)
+    names, own = np.unique(points, return_inverse=True)
+    width = max(1, int(len(names) - 1).bit_length())
+    own, n = own.astype(np.int64), len(points) - GRAM + 1
+    if width * GRAM > 62:  # three at a time, numbered anew
+        threes = (own[:-2] << (2 * width)) | (own[1:-1] << width) | own[2:]
+        threes = np.unique(threes, return_inverse=True)[1].astype(np.int64)
+        return (threes[:n] << 31) | threes[3 : 3 + n]
+    out = np.zeros(n, np.int64)
+    for k in range(GRAM):
+        out = (out << width) | own[k : k + n]
+    return out
+
+
+def of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, text) of each run of GRAM characters that lies within one of the texts, by the same numbers for all texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    own = np.repeat(np.arange(len(texts)), sizes)
+    numbers = gram_numbers(code_points("".join(texts)))
+    inside = own[: len(numbers)] == own[GRAM - 1 :] if len(numbers) else np.zeros(0, bool)
+    return numbers[inside], own[: len(numbers)][inside]
+
+
 def best_pages(units: list[str], pages: dict[int, str]) -> list[list[int]]:
-    """For each unit the pages with NEAR of the hits of its best one, by an index of runs of GRAM characters."""
-    index: dict[str, list[int]] = {}
-    for page, text in pages.items():
-        for g in {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)}:
-            index.setdefault(g, []).append(page)
+    """For each unit the pages with NEAR of the hits of its best one, by distinct runs of GRAM characters."""
+    names = list(pages)
+    numbers, text = of_texts([*units, *pages.values()])
+    kinds, numbers = np.unique(numbers, return_inverse=True)
+    keys = np.unique(text * max(1, len(kinds)) + numbers)  # each run of a text once
+    text, numbers = keys // max(1, len(kinds)), keys % max(1, len(kinds))
+    split = np.searchsorted(text, len(units))
+    page, number = text[split:] - len(units), numbers[split:]
+    order = np.argsort(number, kind="stable")
+    page, number = page[order], number[order]
+    low, high = np.searchsorted(number, numbers[:split]), np.searchsorted(number, numbers[:split], side="right")
+    many = high - low
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    met, hits = np.unique(np.repeat(text[:split], many) * max(1, len(names)) + page[at], return_counts=True)
+    found: list[dict[int, int]] = [{} for _ in units]
+    for k, n in zip(met.tolist(), hits.tolist(), strict=True):
+        found[k // len(names)][names[k % len(names)]] = n
     out = []
-    for text in units:
+    for text, own in zip(units, found, strict=True):
         if len(text) < GRAM:
-            hits = Counter(page for page, t in pages.items() if text in t)
-        else:
-            hits = Counter(page for g in {text[k : k + GRAM] for k in range(len(text) - GRAM + 1)} for page in index.get(g, ()))
-        top = max(hits.values(), default=0)
-        out.append(sorted(page for page, n in hits.items() if n >= NEAR * top))
+            own = {page: 1 for page, t in pages.items() if text in t}
+        top = max(own.values(), default=0)
+        out.append(sorted(page for page, n in own.items() if n >= NEAR * top))
     return out
 
 
@@ -124,18 +161,22 @@ def consumed(units: list[tuple[str, int, int]], text: str) -> list[list[tuple[in
     the window has. From each place the longest match of at least GRAM characters, or all that is left of a shorter rest, is taken
     and used up, so one copy in the text cannot stand for two units."""
     hay, used = code_points(text), np.zeros(len(text), bool)
-    places: dict[str, list[int]] = {}
-    for k in range(len(text) - GRAM + 1):
-        places.setdefault(text[k : k + GRAM], []).append(k)
-    known = {g: np.array(v) for g, v in places.items()}
-    none = np.zeros(0, np.int64)
+    # runs of the units and of the text by one numbering, and where each number stands in the text
+    joined = "".join(unit for unit, _, _ in units)
+    numbers = gram_numbers(np.concatenate([hay, code_points(joined)]))
+    kinds, numbers = np.unique(numbers, return_inverse=True)
+    own_hay = numbers[: max(0, len(text) - GRAM + 1)]
+    order = np.argsort(own_hay, kind="stable")
+    ends = np.searchsorted(own_hay[order], np.arange(len(kinds) + 1))
+    begin = len(text)
     out = []
     for unit, low, high in units:
         own, missing, i = code_points(unit), [], 0
         while i < len(unit):
             rest = len(unit) - i
             if rest >= GRAM:
-                starts = known.get(unit[i : i + GRAM], none)
+                number = numbers[begin + i]
+                starts = order[ends[number] : ends[number + 1]]
                 starts = starts[np.searchsorted(starts, low) : np.searchsorted(starts, high - GRAM, side="right")]
             else:
                 found, k = [], text.find(unit[i:], low, high)
@@ -154,6 +195,7 @@ def consumed(units: list[tuple[str, int, int]], text: str) -> list[list[tuple[in
                 missing.append((i, i + 1))
             i += 1
         out.append(missing)
+        begin += len(unit)
     return out
 
 
@@ -163,7 +205,7 @@ def fidelity(units: DataFrame, pages: DataFrame) -> DataFrame:
     A unit may stand on its pages and the ones beside them. Texts are compared without white space; a task holds single documents."""
     squash = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
     own = units.select("doc", "unit", squash("text").alias("text")).where("text <> ''")
-    read = pages.select("doc", F.col("page").cast("int").alias("page"), squash("text").alias("text"))
+    read = written(pages.select("doc", F.col("page").cast("int").alias("page"), squash("text").alias("text")))  # read three times
     placed = lists_of(aligned(own, read), read)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,3 +59,19 @@ def test_sets_in_tiles_equal_all_pairs(spark):
     want = {frozenset((a, b)) for i, a in enumerate(distinct) for b in distinct[:i] if len(a & b) >= 0.85 * len(a | b)}
     assert {frozenset(p) for p in got} == want and len(got) == len(want) and want
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_made_once(spark, monkeypatch):
+    """Before, what makes the shown reading ran three times."""
+    from docquarry.operators import alignment
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(text):
+        seen.add(1)
+        return text
+
+    units = spark.createDataFrame([(k, 0, f"text {k} of a line") for k in range(20)], "doc long, unit int, text string").coalesce(1)
+    pages = units.select("doc", F.col("unit").alias("page"), watched("text").alias("text"))
+    assert {r["verdict"] for r in alignment.fidelity(units, pages).collect()} == {"faithful"} and seen.value == 20
