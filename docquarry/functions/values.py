@@ -2,7 +2,7 @@
 
 All are column expressions. Amounts have four digits after the point at most (more are rounded). Strings in the shape of a date whose day does
 not exist are no dates. A null text states nothing and has no mutant. Where a mutation may choose, it takes the smallest stated value, so equal
-rows have equal mutants.
+rows have equal mutants. Each text is read once: as its written dates or amounts with their values, from which the rest is taken.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ DATE = DAY + CLOCK
 #: Units of amounts.
 UNITS = {"조": 10**12, "억": 10**8, "천만": 10**7, "백만": 10**6, "십만": 10**5, "만": 10**4, "천": 10**3}
 NUMBER = r"[0-9][0-9,]*+(?:\.[0-9]+)?+"
-#: Parts with falling units, then one without a unit: `1억 3천만`, `130백만`, `5,000`.
-AMOUNT = r"(?<![0-9.,])(?=[0-9])" + "".join(rf"(?:{NUMBER}\s*{u}\s*)?+" for u in UNITS) + rf"(?:{NUMBER}(?!\s*(?:{'|'.join(UNITS)})))?+"
+#: Where a number may begin; most letters fail at the first test.
+BEGIN = r"(?=[0-9])(?<![0-9.,])"
+#: A number without a unit, or parts with falling units, then one without a unit: `5,000`, `130백만`, `1억 3천만`.
+WITHOUT_UNIT = rf"{NUMBER}(?!\s*(?:[조억만천]|[백십]만))"
+AMOUNT = rf"{BEGIN}(?:{WITHOUT_UNIT}|" + "".join(rf"(?:{NUMBER}\s*{u}\s*)?+" for u in UNITS) + rf"(?:{WITHOUT_UNIT})?+)"
 #: Units of stated numbers, and what each is exchanged for.
 SWAPS = {"개월": "년", "년": "개월", "주": "일", "일": "주", "시간": "분", "분": "시간", "원": "달러", "%": "배"}
 #: Qualifiers and their opposites; comparisons count right after a number or its unit only.
@@ -45,48 +48,73 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def holds(values: Column, value: Column) -> Column:
+    """Whether an array holds a value; array_contains throws at each hit when it is interpreted, as it is beside these functions of arrays."""
+    return F.exists(values, lambda v: v == value)
+
+
 def day_of(written: Column) -> Column:
     """The day of one written date, null if there is no such day."""
-    part = lambda k: F.lpad(F.regexp_extract(written, DATE, k), 2, "0")
-    stamp = F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(written, DATE, 1), part(2), part(3)), F.lit("yyyy-MM-dd"))
-    return F.date_format(stamp, "yyyy-MM-dd")
+    return F.regexp_replace(written, DATE, "$1-$2-$3").try_cast("date").cast("string")
 
 
 def time_of(written: Column) -> Column:
     """The time of one written date as HH:mm, null if it has none or an impossible one."""
-    half, hour, minute = (F.regexp_extract(written, DATE, k) for k in (4, 5, 6))
-    h = F.nullif(hour, F.lit("")).try_cast("int")
-    h = F.when(half == "", h).otherwise(h % 12 + F.when(half == "오후", 12).otherwise(0))
-    m = F.coalesce(F.nullif(minute, F.lit("")).try_cast("int"), F.lit(0))
-    return F.when((h < 24) & (m < 60), F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0")))
 
+    def read(p: Column) -> Column:
+        half, hour, minute = p[0], F.nullif(p[1], F.lit("")).try_cast("int"), F.coalesce(F.nullif(p[2], F.lit("")).try_cast("int"), F.lit(0))
+        hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "오후", 12).otherwise(0))
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return let(F.struct(hour.alias("h"), minute.alias("m")), lambda x: F.when((x["h"] < 24) & (x["m"] < 60), F.concat_ws(":", two(x["h"]), two(x["m"]))))
+
+    return let(F.split(F.regexp_replace(written, DATE, "$4;$5;$6"), ";", -1), read)
 
-def dates(text: Column) -> Column:
-    """The days that a text states, and days with times (2024-06-11T17:00), each once and in order."""
 
-    def read(w: Column) -> Column:
-        return let(F.struct(day_of(w).alias("d"), time_of(w).alias("t")), lambda x: F.when(x["d"].isNotNull(), F.array_compact(F.array(x["d"], F.concat(x["d"], F.lit("T"), x["t"])))).otherwise(F.array().cast("array<string>")))
+def read_dates(text: Column) -> Column:
+    """array<struct(w, day)>: the dates as written and their days, in the order of the text."""
+    return F.transform(found(text, DATE), lambda w: F.struct(w.alias("w"), day_of(w).alias("day")))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found(text, DATE), read))))
+
+def dates(text: Column) -> Column:
+    """The days that a text states, and days with times (2024-06-11T17:00), each once and in order."""
+    both = lambda x: F.array(x["day"], F.concat(x["day"], F.lit("T"), time_of(x["w"])))
+    return F.sort_array(F.array_distinct(F.array_compact(F.flatten(F.transform(read_dates(text), both)))))
 
 
 def value_of(amount: Column) -> Column:
     """The value of one written amount."""
-    read = lambda pattern: decimal(F.regexp_replace(F.regexp_extract(amount, pattern, 1), ",", ""))
+    plain = lambda number: decimal(F.replace(number, F.lit(","), F.lit("")))
+    read = lambda pattern: plain(F.regexp_extract(amount, pattern, 1))
     part = lambda u, n: F.coalesce(read(rf"({NUMBER})\s*{u}" + ("(?!만)" if u == "천" else "")) * n, F.lit(0))
     parts = [F.when(amount.contains(u), part(u, n)).otherwise(0) for u, n in UNITS.items()]
-    return sum(parts, F.coalesce(read(rf"(?:^|[^0-9.,])({NUMBER})\s*$"), F.lit(0))).cast("decimal(38,4)")
+    united = sum(parts, F.coalesce(read(rf"(?:^|[^0-9.,])({NUMBER})\s*$"), F.lit(0))).cast("decimal(38,4)")
+    # all but units are single bytes
+    return F.when(F.octet_length(amount) > F.length(amount), united).otherwise(F.coalesce(plain(amount).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")))
+
+
+def read_amounts(text: Column) -> Column:
+    """array<struct(w, v)>: the amounts as written and their values, in the order of the text."""
+    return F.transform(found(text, AMOUNT), lambda w: F.struct(w.alias("w"), value_of(w).alias("v")))
+
+
+def values(read: Column) -> Column:
+    """The values of read amounts."""
+    return read["v"]
+
+
+def large_values(read: Column) -> Column:
+    """Those of ten thousand and more, or written with such a unit."""
+    return values(F.filter(read, lambda x: x["w"].contains("억") | x["w"].contains("만") | (x["v"] >= 10_000)))
 
 
 def amounts(text: Column) -> Column:
     """The values of all numbers that a text states, each once."""
-    return F.array_distinct(F.transform(found(text, AMOUNT), value_of))
+    return F.array_distinct(values(read_amounts(text)))
 
 
 def large_amounts(text: Column) -> Column:
     """Those of ten thousand and more, or written with such a unit."""
-    read = F.transform(found(text, AMOUNT), lambda w: F.struct(value_of(w).alias("v"), (w.contains("억") | w.contains("만")).alias("large")))
-    return F.array_distinct(F.transform(F.filter(read, lambda x: x["large"] | (x["v"] >= 10_000)), lambda x: x["v"]))
+    return F.array_distinct(large_values(read_amounts(text)))
 
 
 def value_check(claim: Column, passages: Column) -> Column:
@@ -95,10 +123,12 @@ def value_check(claim: Column, passages: Column) -> Column:
     return F.when(foreign > 0, "unsupported")
 
 
-def replaced(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """text with every match of a pattern replaced by new(match); null stands for the match itself."""
-    rest, own = F.split(text, pattern, -1), found(text, pattern)
-    pieces = F.zip_with(rest, own, lambda r, w: F.concat(r, F.coalesce(new(w), w, F.lit(""))))
+def replaced(text: Column, pattern: str, own: Column, new: Callable[[Column], Column]) -> Column:
+    """text with every match of a pattern replaced by new(match); null stands for the match itself. own: the matches in order, as structs with their
+    strings as `w`; none may be empty."""
+    # split() would compile the pattern for each row; after a text that ends without a match one more rest is empty
+    rest = F.regexp_extract_all(text, F.lit(rf"((?s:.*?))(?:{pattern}|\z)"), F.lit(1))
+    pieces = F.zip_with(rest, own, lambda r, x: F.concat(r, F.coalesce(new(x), x["w"], F.lit(""))))
     return F.array_join(pieces, "")
 
 
@@ -108,70 +138,82 @@ def mutant(text: Column, before: Column, after: Column) -> Column:
     return let(made, lambda m: F.when(m["text"].isNotNull() & m["before"].isNotNull() & m["after"].isNotNull(), m))
 
 
-def with_other_date(text: Column, passages: Column) -> Column:
-    """The first day that both state moves by a week, by two if the passages state that day too."""
+def stated(kind: str, text: Column) -> Column:
+    """The amounts, or else the days, that a text states, in its order and with repeats."""
+    return values(read_amounts(text)) if kind == "amount" else F.filter(read_dates(text)["day"], lambda day: day.isNotNull())
+
+
+def with_other_date(text: Column, passages: Column, theirs: Column | None = None) -> Column:
+    """The first day that both state moves by a week, by two if the passages state that day too. theirs: what the passages state, if it is at hand."""
 
     def moved(x: Column) -> Column:
-        later = lambda n: F.date_format(F.date_add(F.to_date(x["day"]), n), "yyyy-MM-dd")
-        return let(F.when(F.array_contains(x["theirs"], later(7)), later(14)).otherwise(later(7)), lambda new: rewritten(x["day"], new))
+        later = lambda n: F.date_add(x["day"].cast("date"), n).cast("string")
+        new = let(later(7), lambda week: F.when(holds(x["theirs"], week), later(14)).otherwise(week))
+        return F.when(x["day"].isNotNull(), let(new, lambda n: rewritten(x["own"], x["day"], n)))
 
-    def rewritten(day: Column, new: Column) -> Column:
-        written = lambda w: F.concat_ws(" ", F.date_format(F.to_date(new), "yyyy년 M월 d일"), time_of(w))
-        return F.when(day.isNotNull(), mutant(replaced(text, DATE, lambda w: F.when(day_of(w) == day, written(w))), day, new))
+    def rewritten(own: Column, day: Column, new: Column) -> Column:
+        written = lambda x: F.concat_ws(" ", F.date_format(new.cast("date"), "yyyy년 M월 d일"), time_of(x["w"]))
+        return mutant(replaced(text, DATE, own, lambda x: F.when(x["day"] == day, written(x))), day, new)
 
-    def chosen(theirs: Column) -> Column:
-        both = F.filter(F.transform(found(text, DATE), day_of), lambda d: F.array_contains(theirs, d))
-        return let(F.struct(theirs.alias("theirs"), F.try_element_at(both, F.lit(1)).alias("day")), moved)
+    def chosen(x: Column) -> Column:
+        both = F.filter(x["own"], lambda o: holds(x["theirs"], o["day"]))
+        return let(F.struct(x["own"].alias("own"), x["theirs"].alias("theirs"), F.try_element_at(both, F.lit(1))["day"].alias("day")), moved)
 
-    return let(dates(passages), chosen)
+    return let(F.struct(read_dates(text).alias("own"), (stated("date", passages) if theirs is None else theirs).alias("theirs")), chosen)
 
 
-def with_other_amount(text: Column, passages: Column) -> Column:
-    """The smallest large whole amount that both state becomes one that neither states: its first digit goes up, or it is doubled, or one more."""
+def with_other_amount(text: Column, passages: Column, theirs: Column | None = None) -> Column:
+    """The smallest large whole amount that both state becomes one that neither states: its first digit goes up, or it is doubled, or one more.
+    theirs: what the passages state, if it is at hand."""
 
     def chosen(x: Column) -> Column:
-        old = F.array_min(F.filter(F.array_intersect(x["large"], x["theirs"]), lambda v: v == F.floor(v)))
-        return let(F.struct(old.alias("old"), F.concat(x["own"], x["theirs"]).alias("taken")), changed)
+        old = F.array_min(F.filter(F.array_intersect(large_values(x["own"]), x["theirs"]), lambda v: v == F.floor(v)))
+        return let(F.struct(x["own"].alias("own"), x["theirs"].alias("theirs"), old.alias("old")), lambda y: F.when(y["old"].isNotNull(), changed(y)))
 
     def changed(x: Column) -> Column:
+        taken = F.concat(values(x["own"]), x["theirs"])
         step = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(x["old"].cast("decimal(38,0)").cast("string")) - 1)).cast("decimal(30,0)")
         candidates = F.array(*[c.cast("decimal(38,4)") for c in (x["old"] + step, x["old"] * 2, x["old"] + 1, x["old"] + step * 2)])
-        new = F.try_element_at(F.filter(candidates, lambda c: ~F.array_contains(x["taken"], c)), F.lit(1))
-        return let(new, lambda n: F.when(x["old"].isNotNull(), rewritten(x["old"], n)))
+        new = let(taken, lambda t: F.try_element_at(F.filter(candidates, lambda c: ~holds(t, c)), F.lit(1)))
+        return let(new, lambda n: rewritten(x["own"], x["old"], n))
 
-    def rewritten(old: Column, new: Column) -> Column:
+    def rewritten(own: Column, old: Column, new: Column) -> Column:
         whole = lambda v: v.cast("decimal(38,0)").cast("string")
         # white space after the amount belongs to the text, not to the amount
         written = lambda w: F.concat(F.when(w.rlike("[조억만천,]"), F.format_number(new, 0)).otherwise(whole(new)), F.regexp_extract(w, r"(\s*)$", 1))
-        return mutant(replaced(text, AMOUNT, lambda w: F.when(value_of(w) == old, written(w))), whole(old), whole(new))
+        return mutant(replaced(text, AMOUNT, own, lambda x: F.when(x["v"] == old, written(x["w"]))), whole(old), whole(new))
 
-    return let(F.struct(amounts(text).alias("own"), large_amounts(text).alias("large"), amounts(passages).alias("theirs")), chosen)
+    return let(F.struct(read_amounts(text).alias("own"), (stated("amount", passages) if theirs is None else theirs).alias("theirs")), chosen)
 
 
 def with_other_unit(text: Column, passages: Column) -> Column:
     """The first number with a unit that both state takes another unit, everywhere. A year (1900년 to 2100년) is no period."""
     units = "|".join(sorted(map(re.escape, SWAPS), key=len, reverse=True))
-    pattern = rf"(?<![0-9.,])(?!(?:19|20)[0-9]{{2}}\s?년|2100\s?년){NUMBER}\s?(?:{units})"
+    pattern = rf"{BEGIN}(?!(?:19|20)[0-9]{{2}}\s?년|2100\s?년){NUMBER}\s?(?:{units})"
     plain = lambda w: F.regexp_replace(w, r"[\s,]", "")
-    stated = lambda t: F.transform(found(t, pattern), plain)
+    periods = lambda t: F.transform(found(t, pattern), plain)
     free = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), DATE, "\u0001")
     table = F.create_map(*[F.lit(x) for pair in SWAPS.items() for x in pair])
 
     def swapped(old: Column) -> Column:
         unit = F.regexp_extract(old, rf"({units})$", 1)
         exchange = lambda w: F.concat(F.regexp_extract(w, rf"^({NUMBER}\s?)", 1), F.element_at(table, unit))
-        outside = rf"(?:{DATE})|(?:{pattern})"
-        return mutant(replaced(text, outside, lambda w: F.when(plain(w) == old, exchange(w))), old, F.concat(F.regexp_extract(old, rf"^({NUMBER})", 1), F.element_at(table, unit)))
+        outside = rf"(?=[0-9])(?:{DATE}|{pattern})"
+        own = F.transform(found(text, outside), lambda w: F.struct(w.alias("w")))
+        body = replaced(text, outside, own, lambda x: F.when(plain(x["w"]) == old, exchange(x["w"])))
+        return F.when(old.isNotNull(), mutant(body, old, F.concat(F.regexp_extract(old, rf"^({NUMBER})", 1), F.element_at(table, unit))))
 
-    return let(F.try_element_at(F.array_intersect(stated(free(text)), stated(free(passages))), F.lit(1)), swapped)
+    return let(F.try_element_at(F.array_intersect(periods(free(text)), periods(free(passages))), F.lit(1)), swapped)
 
 
 def with_other_qualifier(text: Column, passages: Column) -> Column:
     """The first qualifier of the list that both state becomes its opposite, everywhere in the text."""
     out = F.lit(None)
     for old, new in reversed(FLIPS.items()):
-        pattern = rf"(?<=[{BEFORE_COMPARISON}])(\s*){old}" if old in COMPARISONS else f"(){old}"
-        out = F.when(text.rlike(pattern) & passages.rlike(pattern), mutant(F.regexp_replace(text, pattern, f"$1{new}"), F.lit(old), F.lit(new))).otherwise(out)
+        pattern = rf"(?<=[{BEFORE_COMPARISON}])(\s*){old}"
+        has = (lambda t: t.rlike(pattern)) if old in COMPARISONS else (lambda t: t.contains(old))  # noqa: B023  called at once
+        body = F.regexp_replace(text, pattern, f"$1{new}") if old in COMPARISONS else F.replace(text, F.lit(old), F.lit(new))
+        out = F.when(has(text) & has(passages), mutant(body, F.lit(old), F.lit(new))).otherwise(out)
     return out
 
 
@@ -209,27 +251,33 @@ def stems(condition: str) -> list[str]:
 def without_condition(text: Column, conditions: Sequence[str]) -> Column:
     """The text without the first condition that can be taken out whole: spellings are parted by ` / `, and one that the text also states in
     other words stays."""
+
+    def without(condition: str, bare: Column) -> Column:
+        words = "|".join(map(re.escape, stems(condition)))
+        left = bare.rlike(f"(?iu){words}") & F.lower(bare).rlike(words) if words else F.lit(False)  # few texts come to lower(), which is slow
+        return F.when(~left, mutant(bare, F.lit(condition), F.lit("")))
+
     out = F.lit(None)
     for condition in reversed(conditions):
         spellings = sorted({s.strip() for s in condition.split(" / ")} - {""}, key=lambda s: (-len(s), s))
         if not spellings:
             continue
         bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "|".join(map(re.escape, spellings)), ""), r"\(\s*\)", ""), "[ \t]{2,}", " "))
-        left = F.lower(bare).rlike("|".join(map(re.escape, stems(condition)))) if stems(condition) else F.lit(False)
-        out = F.when(text.rlike("|".join(map(re.escape, spellings))) & ~left, mutant(bare, F.lit(condition), F.lit(""))).otherwise(out)
+        dropped = let(bare, lambda b: without(condition, b))  # noqa: B023  called at once
+        out = F.coalesce(F.when(text.rlike("|".join(map(re.escape, spellings))), dropped), out)
     return out
 
 
 MUTATIONS: dict[str, Callable[[Column, Column], Column]] = {"amount": with_other_amount, "unit": with_other_unit, "date": with_other_date, "qualifier": with_other_qualifier, "negation": with_negation}
 
 
-def unchanged(kind: str, text: Column, made: Column, passages: Column) -> Column:
-    """Why a mutant does not differ from its source in the respect meant, else null."""
+def unchanged(kind: str, text: Column, made: Column, passages: Column, theirs: Column | None = None) -> Column:
+    """Why a mutant does not differ from its source in the respect meant, else null. theirs: what the passages state, if it is at hand."""
     same = F.when(made["text"] == text, "text unchanged")
     if kind not in ("amount", "date"):
         return same
-    read = amounts if kind == "amount" else dates
     old, new = (made[k].cast("decimal(38,4)") if kind == "amount" else made[k] for k in ("before", "after"))
-    partly = lambda x: F.array_contains(x, old) | ~F.array_contains(x, new)
-    whole = let(read(made["text"]), lambda x: F.when(partly(x), f"the {kind} was not replaced everywhere"))
-    return F.coalesce(same, whole, F.when(F.array_contains(read(passages), new), f"the passages also state the new {kind}"))
+    partly = lambda x: holds(x, old) | ~holds(x, new)
+    whole = let(stated(kind, made["text"]), lambda x: F.when(partly(x), f"the {kind} was not replaced everywhere"))
+    also = F.when(holds(stated(kind, passages) if theirs is None else theirs, new), f"the passages also state the new {kind}")
+    return F.when(made.isNotNull(), F.coalesce(same, whole, also))

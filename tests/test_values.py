@@ -4,12 +4,14 @@ import datetime
 import re
 from decimal import Decimal
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docquarry.functions.values import MUTATIONS, amounts, dates, large_amounts, stems, unchanged, value_check, with_negation, with_other_date, with_other_qualifier, with_other_unit, without_condition
+from docquarry import plans
+from docquarry.functions.values import AMOUNT, MUTATIONS, amounts, dates, large_amounts, read_amounts, replaced, stems, unchanged, value_check, with_negation, with_other_date, with_other_qualifier, with_other_unit, without_condition
 
 DATES = {
     "2024. 6. 11.(화) 17:00": ["2024-06-11", "2024-06-11T17:00"],
@@ -100,3 +102,23 @@ def test_mutants_that_do_not_differ(spark):
     day = spark.createDataFrame([("2024-01-01", "", ("2024-01-08", "2024-01-01", "2024-01-08"))], "t string, p string, m struct<text: string, before: string, after: string>")
     assert day.select(unchanged("date", F.col("t"), F.col("m"), F.col("p")).alias("u")).first()["u"] is None
     assert made(spark, with_other_date, "2024-01-01 오후 3시", "2024-01-01")[0] == "2024년 1월 8일 15:00" and not re.search("오후", made(spark, with_other_date, "2024-01-01 오후 3시", "2024-01-01")[0])
+
+
+def test_mutants_read_texts_once_in_many_tasks(spark, tmp_path):
+    """Before, texts were read anew for each mutation and check, patterns were compiled for each row by split(), and one row group was one task."""
+    rows = [(k, k * 7 % 13, 900.0 + 1234.56 * k, datetime.datetime(1995 + k % 5, 1 + k % 12, 28)) for k in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    df = plans.QUERIES["text_mutants"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(con.sql(plans.SQL["text_mutants"]).fetchall(), key=str)
+    assert df.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 12 and "split(claim" not in plan and plan.count("array_contains(") == 0
+
+
+def test_matches_are_replaced_where_they_stand(spark):
+    texts = ["", "5", "5만", "a5만", "5만a", "5만5만 5", "v1.2 5만\n", "\u00015만\u0001", "1만2억 5만,", "5만 \n 5만", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", replaced(F.col("t"), AMOUNT, read_amounts(F.col("t")), lambda x: F.when(x["v"] == 50_000, F.concat(F.lit("<"), x["w"], F.lit(">")))).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == {t: None if t is None else re.sub(AMOUNT, lambda m: f"<{m[0]}>" if m[0].strip() == "5만" else m[0], t) for t in texts}
