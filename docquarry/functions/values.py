@@ -13,7 +13,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import decimal
 from .text import grams, let
 
 #: What stands between the parts of a date and of a time, and the names of the halves of a day.
@@ -83,7 +82,7 @@ def dates(text: Column) -> Column:
 
 def value_of(amount: Column) -> Column:
     """The value of one written amount."""
-    plain = lambda number: decimal(F.replace(number, F.lit(","), F.lit("")))
+    plain = lambda number: F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(30,4)")
     read = lambda pattern: plain(F.regexp_extract(amount, pattern, 1))
     part = lambda u, n: F.coalesce(read(rf"({NUMBER})\s*{u}" + ("(?!만)" if u == "천" else "")) * n, F.lit(0))
     parts = [F.when(amount.contains(u), part(u, n)).otherwise(0) for u, n in UNITS.items()]
@@ -190,7 +189,7 @@ def with_other_unit(text: Column, passages: Column) -> Column:
     """The first number with a unit that both state takes another unit, everywhere. A year (1900년 to 2100년) is no period."""
     units = "|".join(sorted(map(re.escape, SWAPS), key=len, reverse=True))
     pattern = rf"{BEGIN}(?!(?:19|20)[0-9]{{2}}\s?년|2100\s?년){NUMBER}\s?(?:{units})"
-    plain = lambda w: F.regexp_replace(w, r"[\s,]", "")
+    plain = lambda w: F.translate(w, ", \t\n\v\f\r", "")
     periods = lambda t: F.transform(found(t, pattern), plain)
     free = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), DATE, "\u0001")
     table = F.create_map(*[F.lit(x) for pair in SWAPS.items() for x in pair])
